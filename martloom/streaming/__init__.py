@@ -1,0 +1,5 @@
+"""Reserved: every job in this library is a batch job.
+
+Incremental month loads and latest-version merges are batch work and live in
+``martloom.sources.partitions`` and ``martloom.operators.versions``.
+"""
