@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from checks.model_sql import VALID, half_up
 from checks.registry import Tables, query
+from martloom.plans import warehouse
+from martloom.plans.store import LayerStore
 from martloom.operators import abc, rank, reconcile, rfm, sales, skew, star, versions, wide
 
 # ---- inputs shared by the queries ----------------------------------------
@@ -820,6 +822,8 @@ M_O, M_A = _one("sum(order_count)", "monthly"), _one("sum(sales_amount)", "month
 A_O, A_A = _one("sum(order_count)", "area_table"), _one("sum(sales_amount)", "area_table")
 W_N, W_Q, W_A = _one("count(*)", "vwide"), _one("sum(quantity)", "vwide"), _one("sum(actual_amount)", "vwide")
 P_N, P_Q, P_A = _one("count(*)", "products"), _one("sum(sales_count)", "products"), _one("sum(sales_amount)", "products")
+_V = f"m_order WHERE order_status IN {VALID}"
+V_N, V_A, V_U = _one("count(*)", _V), _one("sum(payable_amount)", _V), _one("count(DISTINCT customer_id)", _V)
 R_N, R_Q, R_A = _one("count(*)", "ranked"), _one("sum(sales_count)", "ranked"), _one("sum(sales_amount)", "ranked")
 
 
@@ -886,31 +890,8 @@ def monthly_checks(t: Tables):
 
 
 def layers(t: Tables) -> dict:
-    """The layer tables, each written once and read by what follows."""
-    c = t.clean
-    out = {"ods_order": c.order(with_area=True), "ods_order_detail": c.detail()}
-    d = t.stage(wide_table(t), "dwd")
-    grain = t.stage(
-        sales.order_grain(
-            sales.valid_sales(d, t.statuses),
-            ("order_id", "customer_id", "order_time", "payable_amount", "coupon_amount", "freight_amount",
-             "receiver_province_code", "receiver_province_name"),
-        ),
-        "grain",
-    )
-    out["dwd_order_detail"] = d
-    out["dws_user_sales"] = t.stage(sales.user_sales(grain, c.customer()), "users")
-    out["dws_product_sales"] = t.stage(sales.product_sales(sales.valid_sales(d, t.statuses), c.product()), "products")
-    out["dws_area_sales"] = t.stage(sales.area_sales(grain), "areas")
-    out["ads_sales_summary"] = t.stage(sales.daily_sales(grain), "daily")
-    out["ads_monthly_sales_trend"] = t.stage(
-        sales.monthly_trend(sales.monthly_base(out["ads_sales_summary"])), "trend"
-    )
-    out["ads_user_rfm_base"] = t.stage(rfm.rfm_base(out["dws_user_sales"]), "rfm")
-    out["ads_user_rfm_segment"] = t.stage(rfm.segments(rfm.scores_by_ntile(out["ads_user_rfm_base"])), "segments")
-    out["ads_product_abc"] = t.stage(abc.product_ranking(out["dws_product_sales"]), "abc")
-    out["ads_product_abc_summary"] = abc.abc_summary(out["ads_product_abc"])
-    return out
+    """The warehouse as the plan builds it, under a scratch folder."""
+    return warehouse.detail_warehouse(t.clean, LayerStore(t.spark, t.scratch("warehouse")))
 
 
 @query(
@@ -948,36 +929,17 @@ def warehouse_checks_29(t: Tables):
         list(
             zip(
                 reconcile.CHECKS_12,
-                [O_N, O_A, O_N, O_A, U_N, U_O, U_A, W_Q, W_A, P_N, P_Q, P_A],
-                [U_O, U_A, D_O, D_A, U_N, U_O, U_A, P_Q, P_A, P_N, P_Q, P_A],
+                [V_N, V_A, V_N, V_A, V_U, V_N, V_A, W_Q, W_A, P_N, P_Q, P_A],
+                [V_N, V_A, V_N, V_A, V_U, V_N, V_A, P_Q, P_A, P_N, P_Q, P_A],
                 [0, 0.01, 0, 0.01, 0, 0, 0.01, 0, 0.01, 0, 0, 0.01],
             )
         )
     ),
 )
 def warehouse_checks_12(t: Tables):
-    """The order-driven warehouse: wide table from orders, basic subject tables."""
-    c = t.clean
-    d = t.stage(wide.dwd_order_driven(c.order(), c.detail(), c.customer(), c.product()), "wide12")
-    # Orders without details have no detail rows to sell and are left out of order grain.
-    d = d.filter(F.col("order_detail_id").isNotNull())
-    valid = sales.valid_sales(d, t.statuses)
-    orders = t.stage(
-        sales.order_grain(valid, ("order_id", "customer_id", "customer_name", "order_time", "payable_amount")), "grain12"
-    )
-    user_table = t.stage(sales.user_sales_basic(orders), "users12")
-    product_table = t.stage(sales.product_sales_basic(valid), "products12")
-    return reconcile.warehouse_checks_12(
-        {
-            "dwd_order_detail": d,
-            "dws_user_sales": user_table,
-            "dws_product_sales": product_table,
-            "ads_sales_summary": sales.daily_sales_basic(orders),
-            "ads_user_summary": sales.user_level(user_table),
-            "ads_product_summary": abc.product_dense_ranks(product_table),
-        },
-        t.statuses,
-    )
+    """The order-driven warehouse. Orders without any detail are sold orders here."""
+    found = warehouse.order_warehouse(t.clean, LayerStore(t.spark, t.scratch("warehouse12")))
+    return reconcile.warehouse_checks_12(found, t.statuses)
 
 
 @query(
@@ -999,6 +961,4 @@ def warehouse_checks_12(t: Tables):
 )
 def layer_row_parity(t: Tables):
     found = layers(t)
-    found["fact_order_detail"] = star.fact_order_detail(found["dwd_order_detail"])
-    found["dim_date"] = star.dim_date(star.fact_order(found["dwd_order_detail"], t.statuses))
     return reconcile.layer_row_parity(found)

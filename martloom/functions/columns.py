@@ -86,6 +86,16 @@ def with_etl_columns(df: DataFrame, source: str = fixed.SOURCE_SYSTEM) -> DataFr
     )
 
 
+def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Put one-row frames next to each other.
+
+    Each of the others becomes a scalar subquery, so the frames run side by
+    side and only their single rows meet; there is no join.
+    """
+    rows = {f"__row{i}": o.select(F.struct(*o.columns)).scalar() for i, o in enumerate(others)}
+    return first.withColumns(rows).select(*first.columns, *[f"{name}.*" for name in rows])
+
+
 def to_rows(one_row: DataFrame, labels: dict[str, Column], name: str, value: str) -> DataFrame:
     """Turn one wide row of numbers into one row per label."""
     pairs = [F.struct(F.lit(k).alias(name), v.alias(value)) for k, v in labels.items()]

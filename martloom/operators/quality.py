@@ -43,7 +43,7 @@ def numeric_summary(df: DataFrame, columns) -> DataFrame:
     out = None
     for c in columns:
         positions = value_positions(df.filter(F.col(c).isNotNull()).select(c), c)
-        n = positions.agg(F.sum("same").alias("n"))
+        n = positions.agg(F.sum("same")).scalar()
         value = F.col(c).cast("decimal(28,2)")
         place = {p: (F.col("n") - 1) * p for p in PERCENTS}
 
@@ -51,7 +51,7 @@ def numeric_summary(df: DataFrame, columns) -> DataFrame:
             hit = (F.col("below") <= index) & (index < F.col("below") + F.col("same"))
             return F.max(F.when(hit, value))
 
-        picked = positions.crossJoin(F.broadcast(n)).agg(
+        picked = positions.withColumn("n", n).agg(
             F.first("n").alias("n"),
             half_up(F.sum(value * F.col("same")).cast("decimal(38,2)"), F.first("n"), 2).alias("mean"),
             F.min(value).alias("min"),
@@ -529,8 +529,10 @@ def anomaly_manifest(
         ).withColumn("occurrences", F.lit(1).cast("bigint"))
 
     def copies(df: DataFrame, dataset: str, key: str) -> DataFrame:
+        # Copies share their key: whole rows are compared only where a key repeats.
         return (
-            df.groupBy(*df.columns)
+            rule_duplicate(df, [key])
+            .groupBy(*df.columns)
             .agg(F.count(F.lit(1)).alias("__n"))
             .filter(F.col("__n") > 1)
             .select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martloom.functions import fixed
-from martloom.functions.columns import count_if
+from martloom.functions.columns import beside, count_if
 from martloom.operators.sales import is_valid, order_grain
 
 NUMBER = "decimal(38,8)"
@@ -36,7 +36,7 @@ def compare_metric(
     name: str, source: DataFrame, source_column: str, target: DataFrame, target_column: str, tolerance: str = "0"
 ) -> DataFrame:
     """Sum of a column on both sides, compared."""
-    one = source.agg(F.sum(source_column).alias("s")).crossJoin(target.agg(F.sum(target_column).alias("t")))
+    one = beside(source.agg(F.sum(source_column).alias("s")), target.agg(F.sum(target_column).alias("t")))
     return checks(one, [compare(name, F.col("s"), F.col("t"), tolerance)])
 
 
@@ -47,14 +47,6 @@ def require_all_passed(result: DataFrame) -> None:
         raise ValueError(f"{len(failed)} checks failed: {', '.join(failed)}")
 
 
-def _cross(frames: list[DataFrame]) -> DataFrame:
-    """Side-by-side one-row frames."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.crossJoin(f)
-    return out
-
-
 def _sums(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias(f"{prefix}_rows"), *[F.sum(c).alias(f"{prefix}_{c}") for c in columns]
@@ -70,8 +62,8 @@ def _repeated(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def user_sales_checks(orders: DataFrame, users: DataFrame) -> DataFrame:
-    one = _cross(
-        [
+    one = beside(
+        *[
             _sums(orders, "o", "payable_amount"),
             _sums(users, "u", "order_count", "total_amount"),
             _repeated(users, "customer_id", "repeated"),
@@ -89,8 +81,8 @@ def user_sales_checks(orders: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def product_sales_checks(details: DataFrame, products: DataFrame) -> DataFrame:
-    one = _cross(
-        [
+    one = beside(
+        *[
             _sums(details, "d", "quantity", "actual_amount"),
             _sums(products, "p", "sales_detail_count", "sales_count", "sales_amount"),
             _repeated(products, "product_id", "repeated"),
@@ -117,7 +109,7 @@ def daily_sales_checks(orders: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def _orders_and_money(prefix: str, orders: DataFrame, target: DataFrame) -> DataFrame:
-    one = _cross([_sums(orders, "o", "payable_amount"), _sums(target, "t", "order_count", "sales_amount")])
+    one = beside(*[_sums(orders, "o", "payable_amount"), _sums(target, "t", "order_count", "sales_amount")])
     c = F.col
     return checks(
         one,
@@ -132,8 +124,8 @@ def monthly_checks(daily: DataFrame, trend: DataFrame) -> DataFrame:
     last = trend.agg(
         F.max(F.struct("year_month", "cumulative_order_count", "cumulative_sales_amount")).alias("last")
     )
-    one = _cross(
-        [
+    one = beside(
+        *[
             _sums(daily, "d", "order_count", "sales_amount"),
             _sums(trend, "m", "order_count", "sales_amount"),
             _repeated(trend, "year_month", "repeated"),
@@ -259,7 +251,7 @@ def order_facts(wide: DataFrame, statuses) -> DataFrame:
         .distinct()
         .agg(F.count("day").alias("valid_days"))
     )
-    return totals.crossJoin(days)
+    return beside(totals, days)
 
 
 def detail_facts(wide: DataFrame, statuses) -> DataFrame:
@@ -306,8 +298,8 @@ def warehouse_checks_29(t: dict[str, DataFrame], statuses) -> DataFrame:
             F.max("share").alias("last_share"),
         )
     )
-    one = _cross(
-        [
+    one = beside(
+        *[
             t["ods_order"].agg(F.count(F.lit(1)).alias("ods_orders")),
             t["ods_order_detail"].agg(F.count(F.lit(1)).alias("ods_details")),
             order_facts(t["dwd_order_detail"], statuses),
@@ -368,8 +360,8 @@ def warehouse_checks_12(t: dict[str, DataFrame], statuses) -> DataFrame:
     ``t`` holds: dwd_order_detail, dws_user_sales, dws_product_sales,
     ads_sales_summary, ads_user_summary, ads_product_summary.
     """
-    one = _cross(
-        [
+    one = beside(
+        *[
             order_facts(t["dwd_order_detail"], statuses),
             detail_facts(t["dwd_order_detail"], statuses),
             _sums(t["dws_user_sales"], "u", "order_count", "total_amount"),
@@ -411,5 +403,5 @@ def layer_row_parity(t: dict[str, DataFrame]) -> DataFrame:
     """Row counts that should agree. The last pair can differ rightly: the date
     dimension covers all orders, daily sales only valid ones."""
     names = sorted({n for _, a, b in PARITY_PAIRS for n in (a, b)})
-    one = _cross([t[n].agg(F.count(F.lit(1)).alias(n)) for n in names])
+    one = beside(*[t[n].agg(F.count(F.lit(1)).alias(n)) for n in names])
     return checks(one, [compare(label, F.col(a), F.col(b)) for label, a, b in PARITY_PAIRS])

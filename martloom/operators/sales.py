@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from martloom.functions import fixed
-from martloom.functions.columns import count_if, half_up, with_etl_columns
+from martloom.functions.columns import beside, count_if, half_up, with_etl_columns
 
 CUSTOMER_ATTRIBUTES = (
     "customer_name",
@@ -473,7 +473,7 @@ def grain_audit(df: DataFrame, key: str) -> DataFrame:
 def detail_grain_audit(detail: DataFrame) -> DataFrame:
     ids = grain_audit(detail, "order_detail_id")
     orders = detail.select("order_id").distinct().agg(F.count("order_id").alias("distinct_orders"))
-    return ids.crossJoin(orders).withColumn(
+    return beside(ids, orders).withColumn(
         "avg_details_per_order", half_up(F.col("total_rows"), F.col("distinct_orders"), 2)
     )
 

@@ -14,8 +14,8 @@ HOT_KEY_LIMIT = 64
 def hot_keys(df: DataFrame, key: str, limit: int = HOT_KEY_LIMIT) -> DataFrame:
     """Keys holding at least one row in ``limit``: at most ``limit`` of them."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(whole)).filter(F.col("n") * limit >= F.col("total")).select(key)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counts.filter(F.col("n") * limit >= total).select(key)
 
 
 def salted_aggregate(

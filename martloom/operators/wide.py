@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martloom.functions.columns import count_if, half_up, with_etl_columns
+from martloom.functions.columns import beside, count_if, half_up, with_etl_columns
 
 # ---- fixed values: wide-table columns, (source column, output name) -------
 DETAIL_PART = (
@@ -151,7 +151,7 @@ def dwd_join_audit(detail: DataFrame, order: DataFrame, customer: DataFrame, pro
         F.coalesce(F.sum("no_product"), F.lit(0)).alias("missing_product_rows"),
     )
     before = detail.agg(F.count(F.lit(1)).alias("source_rows"))
-    return before.crossJoin(after)
+    return beside(before, after)
 
 
 def dwd_order_driven(order: DataFrame, detail: DataFrame, customer: DataFrame, product: DataFrame) -> DataFrame:

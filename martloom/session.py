@@ -58,10 +58,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[app]
 
 
+def _scratch_home(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/martloom-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the scratch root, unique to this application."""
-    app = spark.sparkContext.applicationId
-    return f"{scratch_root(spark).rstrip('/')}/martloom-{app}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_home(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's staged tables. Frames built on them stop working."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_home(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def stage(df, name: str):

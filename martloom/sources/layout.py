@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.functions import fixed
-from martloom.functions.columns import half_up
+from martloom.functions.columns import beside, half_up
 
 
 def table_files(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +31,7 @@ def file_layout_audit(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
         many = F.col("files") >= fixed.SMALL_FILE_COUNT
         tiny = F.col("bytes") < F.col("files") * mb * fixed.SMALL_FILE_MB
-        row = files.crossJoin(rows).select(
+        row = beside(files, rows).select(
             F.lit(name).alias("table_name"),
             "files",
             "bytes",
@@ -65,9 +65,6 @@ def small_file_compaction(spark: SparkSession, source: str, target: str, files:
         return spark.read.parquet(path).agg(F.count(F.lit(1)).alias(name))
 
     count = table_files(spark, target).agg(F.count(F.lit(1)).alias("files"))
-    return (
-        rows(source, "rows_before")
-        .crossJoin(rows(target, "rows_after"))
-        .crossJoin(count)
-        .select(F.lit(mode).alias("mode"), "files", "rows_before", "rows_after")
+    return beside(rows(source, "rows_before"), rows(target, "rows_after"), count).select(
+        F.lit(mode).alias("mode"), "files", "rows_before", "rows_after"
     )
