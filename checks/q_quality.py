@@ -251,7 +251,7 @@ def orphans(t: Tables):
     "SELECT order_id, payable_amount FROM m_order o WHERE NOT EXISTS (SELECT 1 FROM m_detail d WHERE d.order_id = o.order_id)",
 )
 def orphan_rows(t: Tables):
-    return quality.orphans(t.clean.order(), t.clean.detail(), "order_id")
+    return quality.orphans(t.clean.order(), t.clean.detail(), "order_id", parent_is_many=True)
 
 
 @query(

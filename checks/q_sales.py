@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from checks.model_sql import VALID, half_up
 from checks.registry import Tables, query
+from martloom.operators import abc, rank, reconcile, rfm, sales, skew, star, versions, wide
 from martloom.plans import warehouse
 from martloom.plans.store import LayerStore
-from martloom.operators import abc, rank, reconcile, rfm, sales, skew, star, versions, wide
 
 # ---- inputs shared by the queries ----------------------------------------
 
@@ -414,7 +414,7 @@ _SKEW_COLUMNS = ("customer_id", "product_id", "receiver_province_name", "order_c
 )
 def key_skew_audit(t: Tables):
     order = t.clean.order(with_area=True).select("order_id", "customer_id", "receiver_province_name", "order_channel")
-    rows = t.clean.detail().select("order_id", "product_id").join(order, "order_id", "left")
+    rows = t.stage(t.clean.detail().select("order_id", "product_id").join(order, "order_id", "left"), "keys")
     out = None
     for c in _SKEW_COLUMNS:
         row = skew.key_skew_audit(rows, c)
@@ -889,9 +889,15 @@ def monthly_checks(t: Tables):
     return reconcile.monthly_checks(days, t.stage(sales.monthly_trend(sales.monthly_base(days)), "trend"))
 
 
+_BUILT: dict[tuple[str, str], dict] = {}
+
+
 def layers(t: Tables) -> dict:
-    """The warehouse as the plan builds it, under a scratch folder."""
-    return warehouse.detail_warehouse(t.clean, LayerStore(t.spark, t.scratch("warehouse")))
+    """The warehouse as the plan builds it, written once per session and folder."""
+    where = (t.spark.sparkContext.applicationId, t.folder)
+    if where not in _BUILT:
+        _BUILT[where] = warehouse.detail_warehouse(t.clean, LayerStore(t.spark, t.scratch("warehouse")))
+    return _BUILT[where]
 
 
 @query(

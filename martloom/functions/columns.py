@@ -86,6 +86,17 @@ def with_etl_columns(df: DataFrame, source: str = fixed.SOURCE_SYSTEM) -> DataFr
     )
 
 
+def meets(left: str, right: str) -> Column:
+    """Join condition between rows and a table already grouped on ``right``.
+
+    A plain equality would reuse the grouping's partitioning, and then the
+    join has no exchange of its own for Spark to split when one key is hot.
+    Null-safe equality hashes another expression, so it gets one. ``right``
+    must hold no NULL, which keeps the meaning that of plain equality.
+    """
+    return F.col(left).eqNullSafe(F.col(right))
+
+
 def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Put one-row frames next to each other.
 

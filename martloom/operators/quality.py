@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martloom.functions import fixed
-from martloom.functions.columns import any_of, count_if, half_up, is_blank, to_rows
+from martloom.functions.columns import any_of, count_if, half_up, is_blank, meets, to_rows
 from martloom.operators.rank import value_positions
 
 
@@ -326,9 +326,15 @@ def error_rows(df: DataFrame, rules: RuleSet) -> DataFrame:
 # ---- relations -----------------------------------------------------------
 
 
-def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Child rows whose key is not in the parent; a NULL key is an orphan too."""
-    return child.join(parent.select(key).distinct(), key, "left_anti")
+def orphans(child: DataFrame, parent: DataFrame, key: str, parent_is_many: bool = False) -> DataFrame:
+    """Child rows whose key is not in the parent; a NULL key is an orphan too.
+
+    With one parent row per key the parent is joined as it is, so a hot key
+    among the children can be split. ``parent_is_many`` (orders looked up in
+    their details) removes repeated parent keys first instead.
+    """
+    keys = parent.select(key)
+    return child.join(keys.distinct() if parent_is_many else keys, key, "left_anti")
 
 
 def orphan_count(child: DataFrame, parent: DataFrame, key: str, name: str) -> DataFrame:
@@ -351,13 +357,19 @@ def relation_checks(order: DataFrame, detail: DataFrame, customer: DataFrame, pr
 
 
 def order_times(order: DataFrame) -> DataFrame:
-    return order.groupBy(F.col("order_id").alias("t_order_id")).agg(F.min("order_time").alias("order_time"))
+    """Earliest time per order id, so a repeated order does not repeat its details."""
+    known = order.filter(F.col("order_id").isNotNull())
+    return known.groupBy(F.col("order_id").alias("t_order_id")).agg(F.min("order_time").alias("order_time"))
+
+
+def known_keys(df: DataFrame, key: str, name: str) -> DataFrame:
+    return df.filter(F.col(key).isNotNull()).select(F.col(key).alias(name)).distinct()
 
 
 def detail_time_order(detail: DataFrame, order: DataFrame) -> DataFrame:
     """Details created before their order."""
     return (
-        detail.join(order_times(order), F.col("order_id") == F.col("t_order_id"))
+        detail.join(order_times(order), meets("order_id", "t_order_id"))
         .filter(F.col("created_at") < F.col("order_time"))
         .drop("t_order_id")
     )
@@ -446,18 +458,18 @@ def integrity_suite(
     amount_off = ~F.coalesce(
         F.abs(F.col("order_amount") - F.col("detail_amount")) <= money_limit, F.lit(False)
     )
-    timed = detail.join(order_times(order), F.col("order_id") == F.col("t_order_id"), "left")
+    timed = detail.join(order_times(order), meets("order_id", "t_order_id"), "left")
     parts = [
         keys(order, "order_id", "order_key"),
         keys(detail, "order_detail_id", "order_detail_key"),
         keys(customer, "customer_id", "customer_key"),
         keys(product, "product_id", "product_key"),
         orphan(order, customer, "customer_id", "order_customer"),
-        orphan(detail, order, "order_id", "detail_order"),
         orphan(detail, product, "product_id", "detail_product"),
         rows(
             timed,
             {
+                "detail_order": F.col("t_order_id").isNull(),
                 "quantity_range": outside_range("quantity", *quantity_range),
                 "actual_amount_formula": detail_mismatch(expected),
                 "detail_time": F.col("created_at") < F.col("order_time"),
@@ -546,12 +558,12 @@ def anomaly_manifest(
             )
         )
 
-    product_keys = product.select(F.col("product_id").alias("k_product_id")).distinct()
-    customer_keys = customer.select(F.col("customer_id").alias("k_customer_id")).distinct()
-    details = detail.join(order_times(order), F.col("order_id") == F.col("t_order_id"), "left").join(
-        product_keys, F.col("product_id") == F.col("k_product_id"), "left"
+    product_keys = known_keys(product, "product_id", "k_product_id")
+    customer_keys = known_keys(customer, "customer_id", "k_customer_id")
+    details = detail.join(order_times(order), meets("order_id", "t_order_id"), "left").join(
+        product_keys, meets("product_id", "k_product_id"), "left"
     )
-    orders = order.join(customer_keys, F.col("customer_id") == F.col("k_customer_id"), "left")
+    orders = order.join(customer_keys, meets("customer_id", "k_customer_id"), "left")
     parts = [
         found(
             details,

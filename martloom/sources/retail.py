@@ -13,7 +13,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.functions.columns import half_up, money
+from martloom.functions.columns import money
 
 # ---- fixed values: order states of this schema ---------------------------
 ALL_STATUSES = ("F", "O", "P")
@@ -80,6 +80,9 @@ class RetailTables:
             F.col("l_extendedprice").cast("decimal(12,2)") * F.col("l_discount").cast("decimal(4,2)")
         )
         quantity = F.col("l_quantity").cast("int")
+        # Price per piece rounded half up, in whole cents: long arithmetic, once per row.
+        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+        unit_cents = F.when(quantity > 0, F.call_function("div", cents * 2 + quantity, quantity * 2))
         return self.raw("lineitem").select(
             F.concat_ws(
                 "-",
@@ -93,7 +96,7 @@ class RetailTables:
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             quantity.alias("quantity"),
-            money(half_up(gross, quantity, 2)).alias("unit_price"),
+            money(unit_cents / 100).alias("unit_price"),
             discount.alias("discount_amount"),
             money(gross - discount).alias("actual_amount"),
             F.col("l_shipdate").alias("created_at"),
