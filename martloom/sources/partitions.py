@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.functions import fixed
+from martloom.sources.sinks import observed, rows_seen
 from martloom.sources.tables import path_exists
 
 PARTITION = "order_month"
@@ -34,17 +35,12 @@ def _write(df: DataFrame, path: str, mode: str | None) -> int:
     ``rebalance`` gathers each month's rows into few files, but lets Spark
     split a month that is much larger than the others.
     """
-    seen = Observation()
-    writer = (
-        df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        .hint("rebalance", F.col(PARTITION))
-        .write.mode("overwrite")
-        .partitionBy(PARTITION)
-    )
+    counted, seen = observed(df.hint("rebalance", F.col(PARTITION)))
+    writer = counted.write.mode("overwrite").partitionBy(PARTITION)
     if mode:
         writer = writer.option("partitionOverwriteMode", mode)
     writer.parquet(path)
-    return seen.get["rows"]
+    return rows_seen(seen)
 
 
 def month_partition_write(df: DataFrame, path: str) -> DataFrame:

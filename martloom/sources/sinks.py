@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """Count rows as they are written.
+
+    Must be the last step before the write: only tasks of the writing stage
+    are counted once whatever is retried, a repeated shuffle stage is not.
+    """
     seen = Observation()
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def rows_seen(seen: Observation) -> int:
+    """The observed count. Where Spark found out that there is nothing to
+    write, it drops the counting step with the rest, and there is no value."""
+    try:
+        return seen.get["rows"]
+    except Py4JJavaError:
+        return 0
+
+
 def parquet_overwrite_verified(df: DataFrame, path: str) -> DataFrame:
     """Overwrite ``path``, then compare written and read-back row counts.
 
     The first count is observed while writing, so the input is computed once.
     ``df`` must not read from ``path``.
     """
-    counted, seen = _observed(df)
+    counted, seen = observed(df)
     counted.write.mode("overwrite").parquet(path)
-    return _read_back(df, path, seen.get["rows"])
+    return _read_back(df, path, rows_seen(seen))
 
 
 def _read_back(df: DataFrame, path: str, before: int) -> DataFrame:
@@ -36,9 +51,9 @@ def small_result_sink(df: DataFrame, path: str) -> DataFrame:
     The rows are exchanged to one task first, so the aggregation itself keeps
     its parallelism.
     """
-    counted, seen = _observed(df)
-    counted.repartition(1).write.mode("overwrite").parquet(path)
-    return _read_back(df, path, seen.get["rows"])
+    counted, seen = observed(df.repartition(1))
+    counted.write.mode("overwrite").parquet(path)
+    return _read_back(df, path, rows_seen(seen))
 
 
 def csv_sink(df: DataFrame, path: str) -> None:
