@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from martloom.functions import fixed
-from martloom.functions.columns import beside, count_if, half_up, with_etl_columns
+from martloom.functions.columns import beside, count_if, half_up
 
 CUSTOMER_ATTRIBUTES = (
     "customer_name",
@@ -53,14 +53,18 @@ def valid_sales_counts(order: DataFrame, detail: DataFrame, statuses) -> DataFra
     )
 
 
-def order_grain(wide: DataFrame, columns) -> DataFrame:
-    """One row per order from the wide table.
+def one_row_per(df: DataFrame, key: str, columns) -> DataFrame:
+    """One whole row per key: the smallest, so row order does not matter.
 
-    The smallest of the order's rows is taken as a whole, so the result does
-    not depend on row order; copies collapse before the shuffle.
+    An aggregate, not a window: copies of a key collapse before the shuffle.
     """
-    row = F.struct(*[F.col(c) for c in columns if c != "order_id"])
-    return wide.groupBy("order_id").agg(F.min(row).alias("r")).select("order_id", "r.*")
+    row = F.struct(*[F.col(c) for c in columns if c != key])
+    return df.groupBy(key).agg(F.min(row).alias("r")).select(key, "r.*").select(*columns)
+
+
+def order_grain(wide: DataFrame, columns) -> DataFrame:
+    """One row per order from the wide table."""
+    return one_row_per(wide, "order_id", columns)
 
 
 def orders_with_details(order: DataFrame, detail: DataFrame) -> DataFrame:
@@ -389,10 +393,6 @@ def monthly_trend(monthly: DataFrame) -> DataFrame:
     )
 
 
-def with_load_info(df: DataFrame) -> DataFrame:
-    return with_etl_columns(df)
-
-
 # ---- summaries -----------------------------------------------------------
 
 

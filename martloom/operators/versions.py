@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martloom.functions.columns import count_if
+
 # ---- fixed values: version marks -----------------------------------------
 ORIGINAL = "ORIGINAL"
 CORRECTED = "CORRECTED"
@@ -41,8 +43,8 @@ def merge_checks(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     return (
         both.groupBy(key)
         .agg(
-            count_rows("ORIGINAL", "base_rows"),
-            count_rows("CORRECTED", "delta_rows"),
+            count_if(F.col("record_source") == ORIGINAL).alias("base_rows"),
+            count_if(F.col("record_source") == CORRECTED).alias("delta_rows"),
             F.count(F.lit(1)).alias("n"),
             newest.getField("record_source").alias("kept"),
         )
@@ -50,12 +52,8 @@ def merge_checks(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
             F.sum("base_rows").alias("base_rows"),
             F.sum("delta_rows").alias("delta_rows"),
             F.sum("n").alias("combined_rows"),
-            F.count(F.when(F.col("n") > 1, 1)).alias("repeated_keys"),
+            count_if(F.col("n") > 1).alias("repeated_keys"),
             F.count(F.lit(1)).alias("merged_rows"),
-            F.count(F.when(F.col("kept") == CORRECTED, 1)).alias("corrected_kept"),
+            count_if(F.col("kept") == CORRECTED).alias("corrected_kept"),
         )
     )
-
-
-def count_rows(source: str, name: str):
-    return F.count(F.when(F.col("record_source") == source, 1)).alias(name)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from martloom.functions.columns import with_etl_columns
 from martloom.operators import abc, quality, reconcile, rfm, sales, star, wide
 from martloom.plans.store import LayerStore
-from martloom.session import clear_scratch, local_session
+from martloom.session import local_session, scratch_scope
 
 GRAIN = (
     "order_id",
@@ -119,17 +119,17 @@ def order_warehouse(source, store: LayerStore, rules: quality.RuleSet | None = N
 
 def run(source, base: str, kind: str = "detail") -> DataFrame:
     """Build one warehouse below ``base``, check it, raise if a check fails."""
-    store = LayerStore(source.spark, base)
-    if kind == "detail":
-        tables = detail_warehouse(source, store)
-        result = reconcile.warehouse_checks_29(tables, source.statuses)
-    elif kind == "order":
-        tables = order_warehouse(source, store)
-        result = reconcile.warehouse_checks_12(tables, source.statuses)
-    else:
+    kinds = {
+        "detail": (detail_warehouse, reconcile.warehouse_checks_29),
+        "order": (order_warehouse, reconcile.warehouse_checks_12),
+    }
+    if kind not in kinds:
         raise ValueError(f"unknown warehouse kind: {kind}")
-    result = store.write_small("quality_checks", result)
-    clear_scratch(source.spark)
+    build, check = kinds[kind]
+    store = LayerStore(source.spark, base)
+    with scratch_scope(source.spark):
+        tables = build(source, store)
+        result = store.write_small("quality_checks", check(tables, source.statuses))
     reconcile.require_all_passed(result)
     return result
 

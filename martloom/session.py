@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -58,8 +60,12 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[app]
 
 
+_SCOPE: ContextVar[str] = ContextVar("scratch_scope", default="shared")
+
+
 def _scratch_home(spark: SparkSession) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/martloom-{spark.sparkContext.applicationId}"
+    app = spark.sparkContext.applicationId
+    return f"{scratch_root(spark).rstrip('/')}/martloom-{app}/{_SCOPE.get()}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -67,10 +73,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_scratch_home(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete this application's staged tables. Frames built on them stop working."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_home(spark))
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables staged inside belong to this scope and are deleted at its end.
+
+    For jobs that write their results elsewhere; frames built on the staged
+    tables do not outlive the scope.
+    """
+    token = _SCOPE.set(f"scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_home(spark))
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _SCOPE.reset(token)
 
 
 def stage(df, name: str):

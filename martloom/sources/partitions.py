@@ -16,12 +16,8 @@ PARTITION = "order_month"
 
 
 def with_month(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            "order_date": F.to_date("order_time"),
-            PARTITION: F.date_format("order_time", fixed.MONTH_FORMAT),
-        }
-    )
+    day = F.to_date("order_time")
+    return df.withColumns({"order_date": day, PARTITION: F.date_format(day, fixed.MONTH_FORMAT)})
 
 
 def month_rows(df: DataFrame) -> DataFrame:

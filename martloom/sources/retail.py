@@ -91,7 +91,7 @@ class RetailTables:
                 "l_partkey",
                 "l_suppkey",
                 quantity.cast("string"),
-                F.date_format("l_shipdate", "yyyyMMdd"),
+                F.date_format(F.to_date("l_shipdate"), "yyyyMMdd"),
             ).alias("order_detail_id"),
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),

@@ -24,3 +24,14 @@ def test_query_equals_sql(spark, con, folder, key):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+@pytest.mark.parametrize("key", ["rfm_scores_ntile", "product_ranking_abc", "dws_product_sales", "numeric_summary"])
+def test_result_does_not_depend_on_partition_count(spark, con, folder, key, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert compare(spark, con, folder, queries()[key], oracle_sql()[key]) == ""
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -51,6 +51,18 @@ def test_strict_csv_fails_on_malformed_rows_even_for_a_count(spark, tmp_path, ba
         df.select("id").collect()
 
 
+def test_scratch_scope_removes_only_its_own_tables(spark):
+    from martloom.session import scratch_scope, stage
+
+    kept = stage(spark.range(3).toDF("a"), "kept")
+    with scratch_scope(spark):
+        inner = stage(spark.range(5).toDF("a"), "inner")
+        path = inner.inputFiles()[0]
+        assert inner.count() == 5
+    assert kept.count() == 3
+    assert not tables.path_exists(spark, path)
+
+
 def test_missing_table_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="ods_order"):
         tables.parquet_scan_checked(spark, str(tmp_path), "ods_order")
