@@ -1,10 +1,12 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
 
-from martloom.llm import chat, mixing, sharding
+from martloom.llm import bpe, chat, fertility, mixing, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_chat": chat.op3_chat,
+    "op4_fertility": fertility.op4_fertility,
+    "op5_bpe": bpe.op5_bpe,
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLES = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL}
