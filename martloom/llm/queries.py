@@ -1,12 +1,13 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
 
-from martloom.llm import bpe, chat, classifier, fertility, mixing, sharding
+from martloom.llm import bpe, chat, classifier, fertility, mixing, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_chat": chat.op3_chat,
     "op4_fertility": fertility.op4_fertility,
     "op5_bpe": bpe.op5_bpe,
+    "op6_simhash": simhash.op6_simhash,
     "op8_classifier": classifier.op8_classifier,
     "op9_sharding": sharding.op9_sharding,
 }
