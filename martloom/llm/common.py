@@ -16,10 +16,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
+# Runtime settings for rows that hold whole texts.
+SETTINGS = {
+    # A finished job's shuffle files are of no use to the next job, which reads what
+    # the job wrote; without this they stay until the driver collects garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # Batches that Python workers hold are bounded by bytes, not only by rows.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # A finished job's shuffle files are of no use to the next job, which reads
-    # what the job wrote; without this they stay until the driver collects garbage.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    settle(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

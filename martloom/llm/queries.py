@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
 
-from martloom.llm import bpe, chat, classifier, fertility, mixing, sharding, simhash
+from martloom.llm import bpe, chat, classifier, fertility, line_dedup, mixing, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op8_classifier": classifier.op8_classifier,
     "op9_sharding": sharding.op9_sharding,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL}
+ORACLES = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
