@@ -120,8 +120,8 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
         above = found.join(jumps[k], ["t", "id"]).select(
             "t", "leaf", F.col("up").alias("id"), (F.col("place") - (1 << k)).alias("place")
         )
-        found = found.union(above)
-    found = stage(found, "path-places")
+        # Written each time: the plan would double with every step.
+        found = stage(found.union(above), "path-places")
     return found.join(pinned, ["t", "id"]).select("tree", "t", "leaf", "place", "role", "text")
 
 

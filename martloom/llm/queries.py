@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
 
-from martloom.llm import bpe, chat, classifier, fertility, line_dedup, mixing, sharding, simhash
+from martloom.llm import bpe, chat, classifier, fertility, line_dedup, mixing, neighbours, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_fertility": fertility.op4_fertility,
     "op5_bpe": bpe.op5_bpe,
     "op6_simhash": simhash.op6_simhash,
+    "op7_neighbours": neighbours.op7_neighbours,
     "op8_classifier": classifier.op8_classifier,
     "op9_sharding": sharding.op9_sharding,
     "op10_line_dedup": line_dedup.op10_line_dedup,
