@@ -1,9 +1,10 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
 
-from martloom.llm import bpe, chat, classifier, fertility, line_dedup, mixing, neighbours, sharding, simhash
+from martloom.llm import bpe, chat, classifier, fertility, interpolation, line_dedup, mixing, neighbours, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_interpolation": interpolation.op2_interpolation,
     "op3_chat": chat.op3_chat,
     "op4_fertility": fertility.op4_fertility,
     "op5_bpe": bpe.op5_bpe,
