@@ -1,8 +1,10 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
 
+import corpus_pipeline
 from martloom.llm import bpe, chat, classifier, fertility, interpolation, line_dedup, mixing, neighbours, sharding, simhash
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_mixing": mixing.op1_mixing,
     "op2_interpolation": interpolation.op2_interpolation,
     "op3_chat": chat.op3_chat,
