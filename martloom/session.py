@@ -63,9 +63,17 @@ def scratch_root(spark: SparkSession) -> str:
 _SCOPE: ContextVar[str] = ContextVar("scratch_scope", default="shared")
 
 
+_KEPT_UNTIL_EXIT: set[str] = set()
+
+
 def _scratch_home(spark: SparkSession) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{scratch_root(spark).rstrip('/')}/martloom-{app}/{_SCOPE.get()}"
+    home = f"{scratch_root(spark).rstrip('/')}/martloom-{spark.sparkContext.applicationId}"
+    if home not in _KEPT_UNTIL_EXIT:
+        # What is still staged when the session ends goes with it.
+        _KEPT_UNTIL_EXIT.add(home)
+        path = spark._jvm.org.apache.hadoop.fs.Path(home)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return f"{home}/{_SCOPE.get()}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -73,6 +81,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_scratch_home(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+_STEPS: dict[str, list[tuple[int, str]]] = {}
+
+
+@contextmanager
+def scratch_step(spark: SparkSession, number: int):
+    """Scope of one step of a chain whose steps each read what the step before has written.
+
+    When a step begins, what steps of lower number staged is not read any more
+    and is deleted. What the last step staged goes with the session.
+    """
+    done = _STEPS.setdefault(spark.sparkContext.applicationId, [])
+    for step in [s for s in done if s[0] < number]:
+        _delete(spark, step[1])
+        done.remove(step)
+    token = _SCOPE.set(f"step-{uuid.uuid4().hex}")
+    done.append((number, _scratch_home(spark)))
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession):
     """Tables staged inside belong to this scope and are deleted at its end.
@@ -84,8 +119,7 @@ def scratch_scope(spark: SparkSession):
     try:
         yield
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_home(spark))
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(spark, _scratch_home(spark))
         _SCOPE.reset(token)
 
 
