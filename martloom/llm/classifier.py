@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm.common import fold, named, table
+from martloom.llm.common import fold, named, output, table
 from martloom.session import stage
 
 FOLDS, HELD_OUT = 5, 0
@@ -78,14 +78,13 @@ SIZE = len(statistics(""))
 def described(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The ``keep`` columns and ``x``, the statistics of the text."""
     rows = docs.select(*[named(c).alias(c) for c in keep], F.coalesce(named(text), F.lit("")).alias("__text"))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def describe(batches):
         for batch in batches:
             x = pa.array([statistics(t.as_py()) for t in batch.column("__text")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], x], [*keep, "x"])
 
-    return rows.mapInArrow(describe, f"{kinds}, x array<double>")
+    return rows.mapInArrow(describe, output(rows, keep, "x array<double>"))
 
 
 def moments(labelled: DataFrame, label: str) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:

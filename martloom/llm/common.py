@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from martloom.session import stage
@@ -61,6 +62,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def output(rows: DataFrame, kept: list[str], more: str) -> T.StructType:
+    """Schema of a Python step: columns kept as they are, whatever their field names, and new ones as DDL."""
+    return T.StructType([rows.schema[c] for c in kept] + T.StructType.fromDDL(more).fields)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -60,13 +60,13 @@ def targets(sizes: DataFrame, weights: DataFrame, share: float = SHARE, most: fl
     left = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(fills), F.lit(0.0))
     weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(fills), F.lit(0.0))
     rows = rows.select("*", left.alias("left"), weight_left.alias("weight_left")).withColumn(
-        "level", F.coalesce(F.expr("try_divide(left, weight_left)"), F.lit(0.0))
+        "level", F.expr("try_divide(left, weight_left)")  # null where only weights of 0 are left
     )
     open_level = F.when(F.col("cap") > F.col("weight") * F.col("level"), F.col("level"))
     # Levels rise up to the first open source and fall behind it, so the highest open level is that one's.
     level = F.max(open_level).over(everything)
     filled = F.coalesce(level, F.col("level"))
-    return rows.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * filled).alias("target"))
+    return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("weight") * filled, F.lit(0.0))).alias("target"))
 
 
 def mix(docs: DataFrame, size, weights: DataFrame, share: float = SHARE, most: float = MOST,
