@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.model_sql import half_up
 from checks.registry import Tables, query
 from checks.text_tables import text_order, with_text
-from martloom.operators import quality
+from martloom.operators import gates, quality
 from martloom.operators.quality import RuleSet
 from martloom.sources.retail import ALL_STATUSES
 
@@ -273,16 +273,20 @@ def value_distribution(t: Tables):
     return quality.value_distribution(t.faulty.order(), "order_status")
 
 
-def _percentiles(column: str) -> str:
+def _percentiles(column: str, table: str = "m_detail", digits: int = 2) -> str:
     parts = []
     for p in quality.PERCENTS:
         lo, hi = f"(n - 1) * {p} // 100", f"((n - 1) * {p} + 99) // 100"
         parts.append(
             f"(max(v) FILTER (WHERE i = {lo}) * (100 - max((n - 1) * {p} % 100)) + max(v) FILTER (WHERE i = {hi}) * max((n - 1) * {p} % 100)) * 0.01 AS p{p}"
         )
-    return f"""SELECT '{column}' AS column_name, count(*) AS row_count, {half_up("sum(v)", "count(*)", 2)} AS mean,
+    mean = half_up("sum(v)", "count(*)", 2)
+    if digits != 2:  # in whole numbers of the last decimal
+        unit = 10**digits
+        mean = f"CAST((CAST(sum(v) * {unit} AS HUGEINT) * 2 + count(*)) // (2 * count(*)) AS DOUBLE) / {unit}"
+    return f"""SELECT '{column}' AS column_name, count(*) AS row_count, {mean} AS mean,
     min(v) AS min, max(v) AS max, {", ".join(parts)} FROM (
-      SELECT CAST({column} AS DECIMAL(18,2)) AS v, row_number() OVER (ORDER BY {column}) - 1 AS i, count(*) OVER () AS n FROM m_detail)"""
+      SELECT CAST({column} AS DECIMAL(18,{digits})) AS v, row_number() OVER (ORDER BY {column}) - 1 AS i, count(*) OVER () AS n FROM {table})"""
 
 
 @query(
@@ -294,6 +298,35 @@ def numeric_summary(t: Tables):
     return quality.numeric_summary(t.clean.detail(), ["quantity", "actual_amount"])
 
 
+_FINE = "CAST(CAST(payable_amount AS DECIMAL(18,4)) * 3 + CAST(order_id % 7 AS DECIMAL(18,4)) * 0.0011 AS DECIMAL(18,4))"
+
+
+@query(
+    "numeric_summary_fine",
+    "column_name:s row_count:i mean:d min:d max:d p25:d p50:d p75:d p90:d p99:d",
+    _percentiles("fine", f"(SELECT {_FINE} AS fine FROM m_order) AS fine_table", 4),
+)
+def numeric_summary_fine(t: Tables):
+    """A column with four decimals: nothing may be cut."""
+    return quality.numeric_summary(t.clean.order().select(F.expr(_FINE).alias("fine")), ["fine"])
+
+
+def _gate_sql() -> str:
+    keys = {"order": "order_id", "detail": "order_detail_id", "customer": "customer_id", "product": "product_id"}
+    parts = []
+    for name, key in keys.items():
+        parts.append(f"SELECT '{name}_key_blank' AS gate, count(*) FILTER (WHERE {key} IS NULL OR trim(CAST({key} AS VARCHAR)) = '') AS errors FROM f_{name}")
+        parts.append(f"SELECT '{name}_key_repeated', count({key}) - count(DISTINCT {key}) FROM f_{name}")
+    for child, parent, key in gates.RELATIONS:
+        parts.append(f"SELECT '{child}_without_{parent}', count(*) FROM f_{child} WHERE {key} IS NULL OR {key} NOT IN (SELECT {key} FROM f_{parent})")
+    return " UNION ALL ".join(parts)
+
+
+@query("layer_gates", "gate:s errors:i", _gate_sql())
+def layer_gates(t: Tables):
+    return gates.layer_gates(t.faulty.order(), t.faulty.detail(), t.faulty.customer(), t.faulty.product())
+
+
 @query(
     "detail_formula",
     "order_detail_id:s actual_amount:d",

@@ -889,15 +889,9 @@ def monthly_checks(t: Tables):
     return reconcile.monthly_checks(days, t.stage(sales.monthly_trend(sales.monthly_base(days)), "trend"))
 
 
-_BUILT: dict[tuple[str, str], dict] = {}
-
-
 def layers(t: Tables) -> dict:
-    """The warehouse as the plan builds it, written once per session and folder."""
-    where = (t.spark.sparkContext.applicationId, t.folder)
-    if where not in _BUILT:
-        _BUILT[where] = warehouse.detail_warehouse(t.clean, LayerStore(t.spark, t.scratch("warehouse")))
-    return _BUILT[where]
+    """The warehouse as the plan builds it."""
+    return warehouse.detail_warehouse(t.clean, LayerStore(t.spark, t.scratch("warehouse")))
 
 
 @query(

@@ -96,6 +96,18 @@ def month_partition_write(t: Tables):
     return partitions.month_partition_write(_detail_with_time(t), t.scratch("months"))
 
 
+@query(
+    "month_write_with_unplaced",
+    "order_month:s row_count:i",
+    """SELECT CASE WHEN order_id % 137 > 0 THEN strftime(order_time, '%Y-%m') END AS order_month, count(*) AS row_count
+    FROM m_order GROUP BY 1""",
+)
+def month_write_with_unplaced(t: Tables):
+    """Some orders have no time; they are counted, not lost in silence."""
+    timed = F.when(F.col("order_id") % 137 > 0, F.col("order_time"))
+    return partitions.month_partition_write(t.clean.order().withColumn("order_time", timed), t.scratch("months"))
+
+
 @query(
     "month_pruned_scan",
     "order_month:s row_count:i amount:d",
@@ -156,14 +168,14 @@ def file_layout_audit(t: Tables):
 
 @query(
     "small_file_compaction",
-    "mode:s files:i rows_before:i rows_after:i",
-    """SELECT 'repartition' AS mode, 4 AS files, count(*) AS rows_before, count(*) AS rows_after FROM lineitem
-    UNION ALL SELECT 'coalesce', 1, count(*), count(*) FROM lineitem""",
+    "mode:s rows_before:i rows_after:i",
+    """SELECT 'repartition' AS mode, count(*) AS rows_before, count(*) AS rows_after FROM lineitem
+    UNION ALL SELECT 'coalesce', count(*), count(*) FROM lineitem""",
 )
 def small_file_compaction(t: Tables):
     source, spread, merged = f"{t.folder}/lineitem.parquet", t.scratch("spread"), t.scratch("merged")
-    first = layout.small_file_compaction(t.spark, source, spread, 4, "repartition")
-    return first.unionByName(layout.small_file_compaction(t.spark, spread, merged, 1, "coalesce"))
+    first = layout.small_file_compaction(t.spark, source, spread, "repartition", 1 << 20)
+    return first.unionByName(layout.small_file_compaction(t.spark, spread, merged, "coalesce", 4 << 20))
 
 
 _VIEW_SQL = """SELECT order_channel, count(*) AS order_count, sum(payable_amount) AS sales_amount

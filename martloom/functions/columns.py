@@ -40,16 +40,23 @@ def try_time(c: Column) -> Column:
 TRY_CASTS = {"int": try_int, "money": try_money, "time": try_time, "string": lambda c: c}
 
 
-def half_up(num: Column, den: Column, scale: int) -> Column:
+def half_up(num: Column, den: Column, scale: int, digits: int = 2) -> Column:
     """``num / den`` rounded half away from zero to ``scale`` decimals, exactly.
 
     Decimal division keeps a limited number of digits, so rounding its result
     can round twice. Whole-number division of ``2*|n|*10^s + d`` by ``2*d``
     rounds once. NULL when ``den`` is zero or NULL. ``num`` and ``den`` must be
-    decimals or integers; the quotient times ``10^scale`` must fit a bigint.
+    decimals or integers of at most ``digits`` decimals: a value with more stops
+    the job instead of being cut. The quotient times ``10^scale`` must fit a bigint.
     """
-    n = F.abs(num).cast("decimal(38,2)")
-    d = F.abs(den).cast("decimal(38,2)")
+
+    def exact_digits(c: Column) -> Column:
+        cut = F.abs(c).cast(f"decimal(38,{digits})")
+        # Compared in a narrower type: two wide decimals meet in one with fewer decimals.
+        over = F.abs(c) != cut.cast(f"decimal(30,{digits})")
+        return F.when(over, F.raise_error(F.lit(f"half_up: over {digits} decimals")).cast(f"decimal(38,{digits})")).otherwise(cut)
+
+    n, d = exact_digits(num), exact_digits(den)
     shift = F.lit(Decimal(2 * 10**scale))
     whole = F.call_function("div", n * shift + d, d * F.lit(Decimal(2)))
     sign = F.when((num < 0) != (den < 0), F.lit(-1)).otherwise(F.lit(1))
@@ -58,10 +65,6 @@ def half_up(num: Column, den: Column, scale: int) -> Column:
     return F.when(den != 0, exact.cast(f"decimal(28,{scale})"))
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -71,10 +74,6 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
-def sum_or_zero(name: str) -> Column:
-    return F.coalesce(F.sum(name), F.lit(0))
-
-
 def with_etl_columns(df: DataFrame, source: str = fixed.SOURCE_SYSTEM) -> DataFrame:
     """Technical columns; ``current_timestamp`` is one instant per query."""
     return df.withColumns(

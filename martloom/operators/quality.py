@@ -32,19 +32,30 @@ def value_distribution(df: DataFrame, column: str) -> DataFrame:
 
 
 PERCENTS = (25, 50, 75, 90, 99)
+FLOAT_DIGITS = 6  # decimals to which floating-point columns are summarised
+
+
+def _digits(kind: str) -> int:
+    """Decimals that a summary of a column of this type keeps: its own, at least those of money."""
+    if kind.startswith("decimal"):
+        return max(2, int(kind.rstrip(")").split(",")[1]))
+    return FLOAT_DIGITS if kind in ("double", "float") else 2
 
 
 def numeric_summary(df: DataFrame, columns) -> DataFrame:
     """Per column: count, mean, min, max and exact interpolated percentiles.
 
     Percentiles come from the ordered table of distinct values with running
-    counts, so no task ever holds a whole column.
+    counts, so no task ever holds a whole column. Values keep the scale of their
+    column, percentiles have two decimals more.
     """
     out = None
+    kinds = dict(df.dtypes)
     for c in columns:
+        digits = _digits(kinds[c])
         positions = value_positions(df.filter(F.col(c).isNotNull()).select(c), c)
         n = positions.agg(F.sum("same")).scalar()
-        value = F.col(c).cast("decimal(28,2)")
+        value = F.col(c).cast(f"decimal(28,{digits})")
         place = {p: (F.col("n") - 1) * p for p in PERCENTS}
 
         def at(index: Column) -> Column:
@@ -53,7 +64,7 @@ def numeric_summary(df: DataFrame, columns) -> DataFrame:
 
         picked = positions.withColumn("n", n).agg(
             F.first("n").alias("n"),
-            half_up(F.sum(value * F.col("same")).cast("decimal(38,2)"), F.first("n"), 2).alias("mean"),
+            half_up(F.sum(value * F.col("same")).cast(f"decimal(38,{digits})"), F.first("n"), digits, digits).alias("mean"),
             F.min(value).alias("min"),
             F.max(value).alias("max"),
             *[at(F.call_function("div", place[p], F.lit(100))).alias(f"lo{p}") for p in PERCENTS],
@@ -67,7 +78,7 @@ def numeric_summary(df: DataFrame, columns) -> DataFrame:
             "max",
             *[
                 (F.col(f"lo{p}") + (F.col(f"hi{p}") - F.col(f"lo{p}")) * (place[p] % 100) * F.lit(Decimal("0.01")))
-                .cast("decimal(28,4)")
+                .cast(f"decimal(28,{digits + 2})")
                 .alias(f"p{p}")
                 for p in PERCENTS
             ],

@@ -91,19 +91,19 @@ def _pick(df: DataFrame, part, key: str, key_as: str) -> DataFrame:
 def joined(detail: DataFrame, order: DataFrame, customer: DataFrame, product: DataFrame) -> DataFrame:
     """Details with everything they point at; no detail is lost.
 
-    The order join comes first because both sides are large and share
-    ``order_id``. Customer and product are plain left joins: Spark broadcasts
-    them while their measured size is under its threshold, and otherwise
-    sort-merges with skewed keys split. ``*_found`` tells a missing partner
-    from one whose attributes are NULL.
+    Customers meet the orders, of which there are several times fewer, before
+    both meet the details, so detail rows are dealt out for two joins at most.
+    All are plain left joins: Spark broadcasts a side while its measured size is
+    under its threshold, and otherwise sort-merges with skewed keys split.
+    ``*_found`` tells a missing partner from one whose attributes are NULL.
     """
     o = _pick(order, ORDER_PART, "order_id", "o_order_id")
     c = _pick(customer, CUSTOMER_PART, "customer_id", "c_customer_id")
     p = _pick(product, PRODUCT_PART, "product_id", "p_product_id")
     d = detail.select(*[F.col(a).alias(b) for a, b in DETAIL_PART])
+    bought = o.join(c, F.col("customer_id") == F.col("c_customer_id"), "left")
     return (
-        d.join(o, F.col("order_id") == F.col("o_order_id"), "left")
-        .join(c, F.col("customer_id") == F.col("c_customer_id"), "left")
+        d.join(bought, F.col("order_id") == F.col("o_order_id"), "left")
         .join(p, F.col("product_id") == F.col("p_product_id"), "left")
         .withColumns(
             {
@@ -131,9 +131,9 @@ def dwd_join_audit(detail: DataFrame, order: DataFrame, customer: DataFrame, pro
     o = order.select(F.col("order_id").alias("o_id"), "customer_id")
     c = customer.select(F.col("customer_id").alias("c_id"))
     p = product.select(F.col("product_id").alias("p_id"))
+    bought = o.join(c, F.col("customer_id") == F.col("c_id"), "left")
     per_detail = (
-        d.join(o, d.order_id == F.col("o_id"), "left")
-        .join(c, F.col("customer_id") == F.col("c_id"), "left")
+        d.join(bought, d.order_id == F.col("o_id"), "left")
         .join(p, F.col("product_id") == F.col("p_id"), "left")
         .groupBy("order_detail_id")
         .agg(
@@ -161,8 +161,8 @@ def dwd_order_driven(order: DataFrame, detail: DataFrame, customer: DataFrame, p
     c = customer.select(F.col("customer_id").alias("c_id"), "customer_name", "member_level")
     p = product.select(F.col("product_id").alias("p_id"), "product_name", "category_name")
     return (
-        o.join(d, F.col("order_id") == F.col("d_order_id"), "left")
-        .join(c, F.col("customer_id") == F.col("c_id"), "left")
+        o.join(c, F.col("customer_id") == F.col("c_id"), "left")
+        .join(d, F.col("order_id") == F.col("d_order_id"), "left")
         .join(p, F.col("product_id") == F.col("p_id"), "left")
         .select(*ORDER_DRIVEN_COLUMNS)
     )

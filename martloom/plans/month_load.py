@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import sys
 
-from martloom.session import local_session
+from martloom.session import job_session
 from martloom.sources.partitions import check_month, incremental_month_job
 
 
@@ -21,7 +21,7 @@ def main(argv: list[str]) -> int:
     except ValueError as e:
         print(e)
         return 2
-    spark = local_session()
+    spark = job_session()
     incremental_month_job(spark.read.parquet(wide_path), month, target).show(truncate=False)
     return 0
 

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martloom.functions.columns import with_etl_columns
-from martloom.operators import abc, quality, reconcile, rfm, sales, star, wide
+from martloom.operators import abc, gates, quality, reconcile, rfm, sales, star, wide
 from martloom.plans.store import LayerStore
-from martloom.session import local_session, scratch_scope
+from martloom.session import job_session, scratch_scope
 
 GRAIN = (
     "order_id",
@@ -29,6 +29,9 @@ GRAIN = (
     "receiver_province_name",
 )
 
+# Orders without details are kept by the order-driven warehouse and seen by the checks of the other.
+ALLOWED = ("order_without_detail",)
+
 
 def typed_layer(source, store: LayerStore) -> dict[str, DataFrame]:
     tables = {
@@ -40,14 +43,26 @@ def typed_layer(source, store: LayerStore) -> dict[str, DataFrame]:
     return {name: store.write(name, with_etl_columns(df)) for name, df in tables.items()}
 
 
-def detail_warehouse(source, store: LayerStore) -> dict[str, DataFrame]:
+def gated(t: dict[str, DataFrame], store: LayerStore, allowed: tuple[str, ...]) -> None:
+    """Stop before any joined layer if keys are blank or repeated, or partners are missing."""
+    found = store.write_small(
+        "quality_gates",
+        gates.layer_gates(t["ods_order"], t["ods_order_detail"], t["ods_customer"], t["ods_product"]),
+    )
+    t["quality_gates"] = found
+    gates.require_gates(found, allowed)
+
+
+def detail_warehouse(source, store: LayerStore, allowed: tuple[str, ...] = ALLOWED) -> dict[str, DataFrame]:
     """ODS, wide table, subject tables, metrics, segments, classes, star."""
     t = typed_layer(source, store)
+    gated(t, store, allowed)
     customer, product = t["ods_customer"], t["ods_product"]
     d = store.write(
         "dwd_order_detail", wide.dwd_wide(t["ods_order_detail"], t["ods_order"], customer, product)
     )
     t["dwd_order_detail"] = d
+    gates.require_same_rows(t["ods_order_detail"], d, "dwd_order_detail")
     valid = sales.valid_sales(d, source.statuses)
     # Order grain feeds three tables, so it is a table of its own.
     grain = store.write("dwd_valid_order", sales.order_grain(valid.select(*GRAIN), GRAIN))
@@ -73,6 +88,7 @@ def detail_warehouse(source, store: LayerStore) -> dict[str, DataFrame]:
 
 
 def star_layer(d, customer, product, statuses, store: LayerStore) -> dict[str, DataFrame]:
+    """Facts and dimensions; their keys and partners have passed the gates."""
     facts = store.write("fact_order", star.fact_order(d, statuses))
     return {
         "fact_order": facts,
@@ -83,9 +99,12 @@ def star_layer(d, customer, product, statuses, store: LayerStore) -> dict[str, D
     }
 
 
-def order_warehouse(source, store: LayerStore, rules: quality.RuleSet | None = None) -> dict[str, DataFrame]:
-    """Rule report, order-driven wide table, basic subject tables and metrics."""
+def order_warehouse(
+    source, store: LayerStore, rules: quality.RuleSet | None = None, allowed: tuple[str, ...] = ALLOWED
+) -> dict[str, DataFrame]:
+    """Rule report, order-driven wide table, basic subject tables and metrics, segments, star."""
     t = typed_layer(source, store)
+    gated(t, store, allowed)
     order = t["ods_order"].drop("etl_time", "source_system", "etl_batch")
     rules = rules or quality.RuleSet(
         keys=["order_id"],
@@ -114,6 +133,10 @@ def order_warehouse(source, store: LayerStore, rules: quality.RuleSet | None = N
     t["ads_user_rfm_segment"] = store.write(
         "ads_user_rfm_segment", rfm.segments(rfm.scores_by_percentile(base))
     )
+    t["ads_user_rfm_segment_summary"] = store.write_small(
+        "ads_user_rfm_segment_summary", rfm.segment_summary(t["ads_user_rfm_segment"])
+    )
+    t |= star_layer(d, t["ods_customer"], t["ods_product"], source.statuses, store)
     return t
 
 
@@ -142,7 +165,7 @@ def main() -> None:
     p.add_argument("base", help="folder for the layer tables")
     p.add_argument("--kind", choices=("detail", "order"), default="detail")
     args = p.parse_args()
-    run(CsvTables(local_session(), args.source), args.base, args.kind).show(50, truncate=False)
+    run(CsvTables(job_session(), args.source), args.base, args.kind).show(50, truncate=False)
 
 
 if __name__ == "__main__":

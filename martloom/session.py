@@ -40,6 +40,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return tune(spark)
 
 
+def job_session() -> SparkSession:
+    """The session of a job started by its command line.
+
+    Sets neither master nor sizes, so what spark-submit was given holds; plain
+    ``python`` gets PySpark's own local default.
+    """
+    return tune(SparkSession.builder.appName("martloom").getOrCreate())
+
+
 _LOCAL_ROOT: dict[str, str] = {}
 
 

@@ -45,13 +45,21 @@ def file_layout_audit(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
-def small_file_compaction(spark: SparkSession, source: str, target: str, files: int, mode: str) -> DataFrame:
-    """Rewrite ``source`` as ``files`` files at ``target``; rows must not change.
+TARGET_BYTES = 128 << 20
 
+
+def small_file_compaction(
+    spark: SparkSession, source: str, target: str, mode: str = "repartition", target_bytes: int = TARGET_BYTES
+) -> DataFrame:
+    """Rewrite ``source`` at ``target`` with files of about ``target_bytes``; rows must not change.
+
+    The number of files, and so of writing tasks, follows the listed bytes.
     ``repartition`` shuffles to even files; ``coalesce`` merges without one.
     """
     if source == target:
         raise ValueError("a table cannot be rewritten onto itself while it is read")
+    listed = table_files(spark, source).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    files = max(1, -(-listed.bytes // target_bytes))
     df = spark.read.parquet(source)
     if mode == "repartition":
         out = df.repartition(files)

@@ -40,9 +40,17 @@ def _write(df: DataFrame, path: str, mode: str | None) -> int:
 
 
 def month_partition_write(df: DataFrame, path: str) -> DataFrame:
-    """Write every placeable row by month; returns rows per month as written."""
-    _write(with_month(df).filter(F.col(PARTITION).isNotNull()), path, "static")
-    return partition_rows(df.sparkSession, path)
+    """Write every placeable row by month; returns rows per month as written.
+
+    Rows without a month cannot be placed. They are counted in a row whose month
+    is NULL; there is no such row when there are none.
+    """
+    spark = df.sparkSession
+    dropped = df.filter(F.to_date("order_time").isNull()).count()
+    written = _write(with_month(df).filter(F.col(PARTITION).isNotNull()), path, "static")
+    left = spark.createDataFrame([(None, dropped)] if dropped else [], f"{PARTITION} string, row_count bigint")
+    # Nothing written means no month folder, which could not be read back.
+    return partition_rows(spark, path).unionByName(left) if written else left
 
 
 def read_months(spark: SparkSession, path: str) -> DataFrame:

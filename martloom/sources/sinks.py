@@ -22,7 +22,9 @@ def rows_seen(seen: Observation) -> int:
     write, it drops the counting step with the rest, and there is no value."""
     try:
         return seen.get["rows"]
-    except Py4JJavaError:
+    except Py4JJavaError as e:
+        if "NoSuchElement" not in e.java_exception.getClass().getName():
+            raise
         return 0
 
 

@@ -120,7 +120,7 @@ def test_months_without_time_are_reported_and_not_written(spark, tmp_path):
     df = months_frame(spark)
     assert counts(partitions.month_rows(df)) == {"2025-01": 1, "2025-02": 2, "2025-12": 1, None: 1}
     written = partitions.month_partition_write(df, str(tmp_path / "m"))
-    assert counts(written) == {"2025-01": 1, "2025-02": 2, "2025-12": 1}
+    assert counts(written) == {"2025-01": 1, "2025-02": 2, "2025-12": 1, None: 1}
 
 
 def test_month_scan_is_pruned(spark, tmp_path):
@@ -176,9 +176,10 @@ def test_layout_audit_and_compaction(spark, tmp_path):
     spark.range(120).repartition(12).write.parquet(many)
     before = layout.file_layout_audit(spark, {"many": many}).first()
     assert (before.files, before.row_count, before.small_files, before.broadcastable) == (12, 120, True, True)
+    half = -(-before.bytes // 2)
     for mode in ("repartition", "coalesce"):
-        r = layout.small_file_compaction(spark, many, few, 2, mode).first()
+        r = layout.small_file_compaction(spark, many, few, mode, target_bytes=half).first()
         assert (r.files, r.rows_before, r.rows_after) == (2, 120, 120)
     assert layout.file_layout_audit(spark, {"few": few}).first().small_files is False
     with pytest.raises(ValueError):
-        layout.small_file_compaction(spark, many, many, 1, "coalesce")
+        layout.small_file_compaction(spark, many, many, "coalesce")
