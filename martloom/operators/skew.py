@@ -14,7 +14,7 @@ HOT_KEY_LIMIT = 64
 def hot_keys(df: DataFrame, key: str, limit: int = HOT_KEY_LIMIT) -> DataFrame:
     """Keys holding at least one row in ``limit``: at most ``limit`` of them."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     return counts.filter(F.col("n") * limit >= total).select(key)
 
 

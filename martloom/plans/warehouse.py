@@ -65,7 +65,8 @@ def detail_warehouse(source, store: LayerStore, allowed: tuple[str, ...] = ALLOW
     gates.require_same_rows(t["ods_order_detail"], d, "dwd_order_detail")
     valid = sales.valid_sales(d, source.statuses)
     # Order grain feeds three tables, so it is a table of its own.
-    grain = store.write("dwd_valid_order", sales.order_grain(valid.select(*GRAIN), GRAIN))
+    grain = store.write("dwd_valid_order", sales.order_grain(valid, GRAIN))
+    gates.require_unique_key(grain, "order_id", "dwd_valid_order")
     t["dws_user_sales"] = store.write("dws_user_sales", with_etl_columns(sales.user_sales(grain, customer)))
     t["dws_product_sales"] = store.write("dws_product_sales", with_etl_columns(sales.product_sales(valid, product)))
     t["dws_area_sales"] = store.write_small("dws_area_sales", with_etl_columns(sales.area_sales(grain)))
@@ -90,6 +91,7 @@ def detail_warehouse(source, store: LayerStore, allowed: tuple[str, ...] = ALLOW
 def star_layer(d, customer, product, statuses, store: LayerStore) -> dict[str, DataFrame]:
     """Facts and dimensions; their keys and partners have passed the gates."""
     facts = store.write("fact_order", star.fact_order(d, statuses))
+    gates.require_unique_key(facts, "order_id", "fact_order")
     return {
         "fact_order": facts,
         "fact_order_detail": store.write("fact_order_detail", star.fact_order_detail(d)),
@@ -120,7 +122,8 @@ def order_warehouse(
     )
     t["dwd_order_detail"] = d
     valid = sales.valid_sales(d, source.statuses)
-    grain = store.write("dwd_valid_order", sales.order_grain(valid.select(*GRAIN), GRAIN))
+    grain = store.write("dwd_valid_order", sales.order_grain(valid, GRAIN))
+    gates.require_unique_key(grain, "order_id", "dwd_valid_order")
     t["dws_user_sales"] = store.write("dws_user_sales", sales.user_sales_basic(grain))
     sold = valid.filter(F.col("order_detail_id").isNotNull())
     t["dws_product_sales"] = store.write("dws_product_sales", sales.product_sales_basic(sold))
@@ -158,14 +161,15 @@ def run(source, base: str, kind: str = "detail") -> DataFrame:
 
 
 def main() -> None:
-    from martloom.sources.retail_csv import CsvTables
+    from martloom.sources.retail_csv import CleanedCsvTables, CsvTables
 
     p = argparse.ArgumentParser(description="Build a warehouse from four CSV tables.")
     p.add_argument("source", help="folder with order.csv, order_detail.csv, customer.csv, product.csv")
     p.add_argument("base", help="folder for the layer tables")
     p.add_argument("--kind", choices=("detail", "order"), default="detail")
     args = p.parse_args()
-    run(CsvTables(job_session(), args.source), args.base, args.kind).show(50, truncate=False)
+    tables = CleanedCsvTables if args.kind == "order" else CsvTables
+    run(tables(job_session(), args.source), args.base, args.kind).show(50, truncate=False)
 
 
 if __name__ == "__main__":

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from martloom.functions import fixed
+from martloom.functions.columns import TRY_CASTS
 from martloom.operators.clean import clean_table, ods_typed, require_castable
 from martloom.sources import schemas
 from martloom.sources.tables import csv_strict_scan
@@ -43,3 +45,16 @@ class CsvTables:
     def cleaned(self, name: str) -> DataFrame:
         """The lenient alternative: duplicates dropped, unreadable values NULL or 0."""
         return clean_table(self.raw(name))
+
+
+class CleanedCsvTables(CsvTables):
+    """The same files through the clean step of the order-driven warehouse:
+    whole duplicates dropped, texts trimmed, unreadable money 0, other unreadable values NULL."""
+
+    def _typed(self, name: str) -> DataFrame:
+        declared = schemas.TABLES[name]
+        clean = self.cleaned(name)
+        # What the clean step leaves as text, such as whole numbers, gets its declared type.
+        return clean.select(
+            *[TRY_CASTS[kind](F.col(c)).alias(c) if dict(clean.dtypes)[c] == "string" else F.col(c) for c, kind in declared.items()]
+        )

@@ -4,12 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.text_tables import _text
-from martloom.operators import reconcile
+from martloom.operators import gates, reconcile, sales
 from martloom.plans import month_load, warehouse
 from martloom.plans.store import LayerStore
 from martloom.sources import schemas, sinks
 from martloom.sources.retail import RetailTables
-from martloom.sources.retail_csv import CsvTables
+from martloom.sources.retail_csv import CleanedCsvTables, CsvTables
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +77,39 @@ def test_unreadable_values_stop_the_ingest(spark, csv_folder, tmp_path):
     assert cleaned.filter("unit_price is not null").count() == 0
 
 
+def test_dirty_files_pass_through_the_clean_step(spark, csv_folder, tmp_path):
+    """A bad amount, duplicate rows and a padded status; strict typing stops, the clean step goes on to 12 checks."""
+    for name in schemas.TABLES:
+        raw = CsvTables(spark, csv_folder).raw(name)
+        if name == "order":
+            first = F.col("order_id") == raw.agg(F.min("order_id")).first()[0]
+            raw = raw.withColumns({
+                "coupon_amount": F.when(first, F.lit("many")).otherwise(F.col("coupon_amount")),
+                "order_status": F.concat(F.lit("  "), "order_status", F.lit(" ")),
+            })
+            raw = raw.unionByName(raw.limit(40))
+        sinks.csv_sink(raw, str(tmp_path / f"{name}.csv"))
+    with pytest.raises(ValueError, match="coupon_amount"):
+        CsvTables(spark, str(tmp_path)).order()
+    base = str(tmp_path / "out")
+    result = warehouse.run(CleanedCsvTables(spark, str(tmp_path)), base, "order").collect()
+    assert len(result) == 12 and all(r.passed for r in result)
+    store = LayerStore(spark, base)
+    order = store.read("ods_order")
+    assert order.count() == CsvTables(spark, csv_folder).raw("order").count()
+    assert order.where("order_status like ' %'").count() == 0 and order.where("coupon_amount = 0").count() > 0
+    for name in ("fact_order", "fact_order_detail", "dim_customer", "dim_product", "dim_date", "ads_user_rfm_segment_summary"):
+        assert store.read(name).count() > 0
+
+
+def test_disagreeing_details_stop_the_run(spark):
+    rows = [("o1", "2025-01-01"), ("o1", "2025-01-02"), ("o2", "2025-01-01")]
+    grain = sales.order_grain(spark.createDataFrame(rows, "order_id string, order_time string"), ("order_id", "order_time"))
+    with pytest.raises(ValueError, match="1 rows beyond one per order_id"):
+        gates.require_unique_key(grain, "order_id", "grain")
+    assert "SortAggregate" not in grain._jdf.queryExecution().executedPlan().toString()
+
+
 def test_unknown_kind(spark, csv_folder, tmp_path):
     with pytest.raises(ValueError, match="kind"):
         warehouse.run(CsvTables(spark, csv_folder), str(tmp_path), "other")
