@@ -74,19 +74,6 @@ def global_rank(
     return placed.select(*columns)
 
 
-def ntile(position: Column, total: Column, tiles: int) -> Column:
-    """The tile of 1-based ``position`` among ``total`` rows, as SQL ``ntile``.
-
-    The first ``total mod tiles`` tiles hold one row more than the rest.
-    """
-    q = F.call_function("div", total, F.lit(tiles))
-    m = total % tiles
-    big = m * (q + 1)
-    in_big = F.call_function("div", position - 1, q + 1) + 1
-    in_small = F.call_function("div", position - 1 - big, q) + m + 1
-    return F.when(position <= big, in_big).otherwise(in_small).cast("int")
-
-
 def value_positions(df: DataFrame, value: str) -> DataFrame:
     """Per distinct value: rows with it, rows below it, and its dense place."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("same"))

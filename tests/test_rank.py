@@ -49,11 +49,16 @@ def test_hot_value_is_cut_into_ranges(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 6, 23])
-def test_ntile_equals_sql_ntile(spark, n):
-    df = spark.range(n)
-    got = rank.global_rank(df, [F.asc("id")], rank="rn", total="n")
-    got = got.select("id", rank.ntile(F.col("rn"), F.col("n"), 5).alias("t"))
-    want = df.select("id", F.ntile(5).over(Window.orderBy("id")).alias("t"))
+def test_tile_scores_equal_sql_ntile(spark, n):
+    """Ties, NULL values and fewer rows than tiles included."""
+    value = lambda k: F.when(F.col("id") % 7 != k, F.col("id") % 4)
+    df = spark.range(n).select(
+        F.concat(F.lit("c"), F.col("id")).alias("customer_id"), value(1).alias("recency_days"),
+        value(2).alias("frequency"), value(3).cast("decimal(18,2)").alias("monetary"),
+    )
+    got = rfm.scores_by_ntile(df).select("customer_id", "r_score", "f_score", "m_score")
+    order = {"r_score": F.desc("recency_days"), "f_score": F.asc("frequency"), "m_score": F.asc("monetary")}
+    want = df.select("customer_id", *[F.ntile(5).over(Window.orderBy(o, "customer_id")).alias(s) for s, o in order.items()])
     assert rows(got) == rows(want)
 
 
