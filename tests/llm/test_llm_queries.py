@@ -6,6 +6,7 @@ import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from checks.compare import compare, connect
 from martloom.llm.queries import ORACLES, QUERIES
+from martloom.session import stage
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
@@ -28,7 +29,7 @@ def test_pipeline_stages(spark, docs, edge_dir):
     current = docs
     sizes = [current.count()]
     for _, step in corpus_pipeline.STAGES[:-1]:
-        current = step(spark, current, edge_dir).localCheckpoint()
+        current = stage(step(spark, current, edge_dir), "step")
         assert current.columns == docs.columns
         sizes.append(current.count())
     assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] <= sizes[2]
