@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from martloom.llm.common import packed, shuffle_partitions, table
+from martloom.llm.common import output, packed, shuffle_partitions, table
 from martloom.session import stage
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -42,7 +42,7 @@ CHUNK = 1 << 16  # characters
 OVERLAP = 1 << 10
 #: The pattern decides a pre-token by at most so many characters behind its start or end.
 LOOKAHEAD = 3
-KEPT_PIECES = 200_000  # encoded pieces that a worker remembers
+KEPT_PIECES = 100_000  # encoded pieces that a worker remembers
 
 
 class Codec:
@@ -103,7 +103,6 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY,
            chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Documents in ``row`` and their ``ids``: unsigned 32-bit numbers, little-endian."""
     rows = docs.select(packed(docs), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    row_type = rows.schema["row"].dataType.simpleString()
     one_chunk = F.length("text") <= chunk + overlap
 
     def whole(batches):
@@ -112,7 +111,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY,
             ids = [coder.encode(split(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.binary())], ["row", "ids"])
 
-    short = rows.where(one_chunk).mapInArrow(whole, f"row {row_type}, ids binary")
+    short = rows.where(one_chunk).mapInArrow(whole, output(rows, ["row"], "ids binary"))
 
     # The id is pinned by writing it.
     long = stage(rows.where(~one_chunk).withColumn("id", F.monotonically_increasing_id()), "long-texts")
@@ -188,8 +187,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             out = [words.decode(i.as_py()) for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    row_type = encoded.schema["row"].dataType.simpleString()
-    return encoded.select("row", "ids").mapInArrow(spell, f"row {row_type}, ids binary, decoded binary")
+    return encoded.select("row", "ids").mapInArrow(spell, output(encoded, ["row", "ids"], "decoded binary"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

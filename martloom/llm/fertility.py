@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm.common import named, packed, table, unpacked
+from martloom.llm.common import named, output, packed, table, unpacked
 from martloom.session import stage
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -133,9 +133,8 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", ranks: str
             if columns:
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("lang"), *columns], out_names)
 
-    row_type = rows.schema["row"].dataType.simpleString()
     out_names = ["row", "lang", *[c.split()[0] for c in f"{COUNTS}, {MEASURES}".split(", ")]]
-    return rows.mapInArrow(count, f"row {row_type}, lang string, {COUNTS}, {MEASURES}")
+    return rows.mapInArrow(count, output(rows, ["row", "lang"], f"{COUNTS}, {MEASURES}"))
 
 
 def judge(rows: DataFrame) -> DataFrame:
@@ -144,6 +143,8 @@ def judge(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("base_failed", failed)
     quartiles = [F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in ("chars_per_token", "entropy")]
     bands = rows.where(~failed).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= FEW)
+    # Written, so that Spark knows its size and need not deal the texts by language.
+    bands = stage(bands, "bands")
     both = rows.alias("r").join(bands.alias("b"), F.col("r.lang").eqNullSafe(F.col("b.lang")), "left")
     wider = F.lit(WIDTH) * (1 + F.sqrt(F.lit(SHORT) / F.greatest(F.col("n_tokens"), F.lit(1))))
 

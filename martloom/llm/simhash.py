@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm.common import components, named, packed, table, unpacked
+from martloom.llm.common import components, named, output, packed, table, unpacked
 from martloom.session import stage
 
 SEED = 42
@@ -89,14 +89,13 @@ def signed(value: int) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(key, fp) with the fingerprint as a signed long."""
     rows = docs.select(named(key).alias("key"), F.coalesce(named(text), F.lit("")).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
 
     def hashed(batches):
         for batch in batches:
             prints = [signed(fingerprint(shingle_hashes(t.as_py(), words))) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(prints, pa.int64())], ["key", "fp"])
 
-    return rows.mapInArrow(hashed, f"key {kind}, fp long")
+    return rows.mapInArrow(hashed, output(rows, ["key"], "fp long"))
 
 
 def position_choices(bits: int = BITS, size: int = KEY_BYTES) -> list[tuple[int, ...]]:
@@ -180,7 +179,6 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_prints(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents in ``row`` with ``same``, a hash of the word sequence, and the fingerprints of their words."""
     rows = docs.select(packed(docs), F.coalesce(named(text), F.lit("")).alias("text"))
-    row_type = rows.schema["row"].dataType.simpleString()
     salts = np.array([xxhash.xxh64_intdigest(bytes([k]), SEED) | 1 for k in range(SET_PRINTS)], np.uint64)
 
     def hashed(batches):
@@ -199,7 +197,7 @@ def set_prints(docs: DataFrame, text: str = "text") -> DataFrame:
             more = [pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *more], ["row", "same", "prints"])
 
-    return rows.mapInArrow(hashed, f"row {row_type}, same binary, prints array<long>")
+    return rows.mapInArrow(hashed, output(rows, ["row"], "same binary, prints array<long>"))
 
 
 def shingle_sets(texts: DataFrame, words: int = SET_WORDS) -> DataFrame:
@@ -213,11 +211,13 @@ def shingle_sets(texts: DataFrame, words: int = SET_WORDS) -> DataFrame:
     return texts.mapInArrow(hashed, "id long, shingles array<long>")
 
 
-def groups_of_near_copies(texts: DataFrame) -> DataFrame:
-    """(node, root) of texts (id, text, prints) that are connected by links of SIMILAR or more."""
-    nodes = texts.select("id", F.posexplode("prints").alias("print", "fp"))
+def groups_of_near_copies(texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """(node, root) of texts that are connected by links of SIMILAR or more.
+
+    ``texts``: id, text. ``prints``: id, prints, of the texts to be compared.
+    """
+    nodes = prints.select("id", F.posexplode("prints").alias("print", "fp"))
     found = stage(links(nodes), "candidates")
-    prints = texts.select("id", "prints")
     both = found.join(prints.select(F.col("id").alias("a"), F.col("prints").alias("pa")), "a").join(
         prints.select(F.col("id").alias("b"), F.col("prints").alias("pb")), "b"
     )
@@ -225,8 +225,9 @@ def groups_of_near_copies(texts: DataFrame) -> DataFrame:
         F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
     )
     near = stage(both.where(apart <= FAR_BITS).select("a", "b"), "near")
-    wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = stage(shingle_sets(texts.join(wanted, "id").select("id", "text")), "shingles")
+    wanted = stage(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "wanted")
+    # Both lists of ids grow with the texts: dealt by id at every size, not broadcast while they are short.
+    sets = stage(shingle_sets(texts.join(wanted.hint("merge"), "id", "left_semi")), "shingles")
     both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
     )
@@ -240,11 +241,9 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "id"))
     # One row for each word sequence, then one for each group of those.
     single = stage(rows.groupBy("same").agg(first.alias("first")).select("first.*"), "single")
-    texts = rows.join(single.select("id"), "id", "left_semi").select(
-        "id", F.coalesce("row.text", F.lit("")).alias("text"), "prints"
-    )
-    roots = groups_of_near_copies(texts)
+    prints = stage(rows.select("id", "prints").join(single.select("id"), "id", "left_semi"), "single-prints")
+    roots = groups_of_near_copies(rows.select("id", F.coalesce("row.text", F.lit("")).alias("text")), prints)
     grouped = single.join(roots, F.col("id") == F.col("node"), "left")
     kept = grouped.groupBy(F.coalesce("root", "id").alias("g")).agg(F.min(F.struct("none", "doc_id", "id")).alias("m"))
-    stay = rows.join(kept.select("m.id"), "id", "left_semi")
+    stay = rows.join(kept.select("m.id").hint("merge"), "id", "left_semi")
     return stay.select(*unpacked(stay, docs.columns))
