@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,15 @@ SETTINGS = {
 }
 
 
+HOME = str(Path(__file__).resolve().parents[2])
+
+
 def settle(spark: SparkSession) -> SparkSession:
+    """Settings for jobs on texts, and the package on the path of Python workers started from elsewhere."""
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if HOME not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, HOME])
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
