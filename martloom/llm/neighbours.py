@@ -44,7 +44,7 @@ CELL = 4096  # vectors aimed at per cell
 MOST_CELLS = 1024
 BLOCK = 8192
 BATCH = 4096
-LEAF = 64
+LEAF = 256  # vectors verified at once
 SPARE = 12  # kept beyond k, so that rounding in a block cannot decide what is found
 SEED = 20
 
@@ -168,7 +168,12 @@ def search_block(space: Projection, x: np.ndarray, q: np.ndarray, bound: np.ndar
                 break
             for leaf in np.unique(near):
                 who, members = active[near == leaf], leaves[leaf]
-                scores = np.concatenate([best[who], q[who] @ x[members].T], axis=1)
+                seen = q[who] @ x[members].T
+                better = seen.max(axis=1) > best[who, -1]
+                who, seen = who[better], seen[better]
+                if not len(who):
+                    continue
+                scores = np.concatenate([best[who], seen], axis=1)
                 found = np.concatenate([rows[who], np.broadcast_to(members, (len(who), len(members)))], axis=1)
                 first = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 best[who] = np.take_along_axis(scores, first, axis=1)
@@ -251,6 +256,9 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
             hit = rows[who, at]
             # Summed alike for every pair, so equal vectors get equal scores in any block.
             score = np.concatenate([(q[w] * x[h]).sum(axis=1) for w, h in zip(*[np.array_split(a, len(a) // 65536 + 1) for a in (who, hit)])])
+            # What is behind the k-th best that the query had before is no candidate.
+            near = space.square_distance(score, np.linalg.norm(q, axis=1)[who]) <= asked.column("bound").to_numpy()[who] * (1 + 1e-9) + 1e-9
+            who, hit, score = who[near], hit[near], score[near]
             return pa.table({
                 "q1": asked.column("q1").take(pa.array(who)), "q2": asked.column("q2").take(pa.array(who)),
                 "ids": data.column("ids").take(pa.array(hit)), "score": pa.array(score),
