@@ -21,6 +21,8 @@ A formatted path is one row: the longest conversation must fit into one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,28 +91,31 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     known = node.select("t", F.col("id").alias("parent")).distinct()
     rooted = node.alias("m").join(known.alias("k"), ["t", "parent"], "left_semi")
     orphans = node.join(known, ["t", "parent"], "left_anti")
-    up = stage(
-        rooted.select("t", "id", F.col("parent").alias("up"), "score", F.lit(1).cast("long").alias("steps"))
-        .union(orphans.select("t", "id", F.lit(None).cast("long"), "score", F.lit(1).cast("long"))),
-        "ancestors",
-    )
-    jumps = [up.where("up is not null").select("t", "id", "up")]
-    reached, total = up, up.count()
+    one = F.lit(1).cast("long").alias("steps")
+    # State of a message after k rounds: its ancestor 2^k steps up, and the score from there.
+    settled = [stage(orphans.select("t", "id", F.lit(None).cast("long").alias("up"), "score", one), "rooted")]
+    climbing = stage(rooted.select("t", "id", F.col("parent").alias("up"), "score", one), "climbing")
+    jumps, total = [climbing.select("t", "id", "up")], pinned.count()
     # 2^k steps lead out of every tree but from a cycle, whose messages are left out.
-    while 1 << (len(jumps) - 1) < total and not jumps[-1].isEmpty():
-        above = reached.select("t", F.col("id").alias("up"), F.col("up").alias("up2"),
-                               F.col("score").alias("score2"), F.col("steps").alias("steps2"))
-        reached = stage(
-            reached.join(above, ["t", "up"], "left").select(
+    while 1 << (len(jumps) - 1) < total and not climbing.isEmpty():
+        # Only trees where something still climbs take part.
+        trees = climbing.select("t").distinct()
+        states = reduce(DataFrame.union, settled, climbing).join(trees, "t", "left_semi")
+        above = states.select("t", F.col("id").alias("up"), F.col("up").alias("up2"),
+                              F.col("score").alias("score2"), F.col("steps").alias("steps2"))
+        risen = stage(
+            climbing.join(above, ["t", "up"]).select(
                 "t", "id", F.col("up2").alias("up"),
-                (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
-                (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
+                (F.col("score") + F.col("score2")).alias("score"), (F.col("steps") + F.col("steps2")).alias("steps"),
             ),
-            "ancestors",
+            "climbing",
         )
-        jumps.append(reached.where("up is not null").select("t", "id", "up"))
+        settled.append(risen.where("up is null"))
+        climbing = risen.where("up is not null")
+        jumps.append(climbing.select("t", "id", "up"))
+    reached = reduce(DataFrame.union, settled)
     parents = rooted.select("t", F.col("parent").alias("id")).distinct()
-    leaves = reached.where("up is null").join(parents, ["t", "id"], "left_anti")
+    leaves = reached.join(parents, ["t", "id"], "left_anti")
     best = Window.partitionBy("t").orderBy((F.col("score") / F.col("steps")).desc(), F.col("steps").desc(), "id")
     if branches is not None:
         leaves = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
