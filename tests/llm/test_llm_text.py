@@ -206,6 +206,46 @@ def test_line_dedup_equals_brute_force(spark, least):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def brute_maximal(rows, least):
+    """Lines left by the definition: a line goes if any window with it, of any length, of ``least`` words came before."""
+    docs = [[line for line in (text or "").split("\n") if WORDS.search(line)] for text in rows]
+    seen, out = set(), []
+    for lines in docs:
+        gone = set()
+        for s in range(len(lines)):
+            for e in range(s + 1, len(lines) + 1):
+                window = tuple(lines[s:e])
+                if sum(len(WORDS.findall(x)) for x in window) >= least:
+                    if window in seen:
+                        gone.update(range(s, e))
+                    seen.add(window)
+        out.append([x for k, x in enumerate(lines) if k not in gone])
+    return out
+
+
+def text_of(words, tag):
+    return "\n".join(" ".join(f"{tag}{k}w{i}" for i in range(n)) for k, n in enumerate(words))
+
+
+@pytest.mark.parametrize("least", [7, 50])
+def test_line_dedup_deletes_maximal_runs(spark, least):
+    rng = random.Random(least)
+    lines = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(25)] + [""]
+    base = ["\n".join(rng.choice(lines) for _ in range(40)) for _ in range(12)]
+    texts = base + ["\n".join([*t.split("\n")[5 : 5 + rng.randint(5, 30)], "other " * 3, *t.split("\n")[:9]]) for t in base]
+    for sizes in ([60, 40], [25, 25, 10], [10, 60, 3, 3], [49], [50, 1]):
+        texts += [text_of(sizes, sizes)] * 2 + [text_of(sizes, sizes) + "\nand more"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.row.doc_id: r.text for r in line_dedup.dedup(df, min_words=least, tails=True).collect()}
+    assert [[x for x in got[k].split("\n") if x] for k in range(len(texts))] == brute_maximal(texts, least)
+
+
+def test_line_dedup_stage_leaves_no_tails(spark):
+    rows = [(2 * n + k, text_of(sizes, n)) for n, sizes in enumerate(([60, 40], [25, 25, 10])) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in line_dedup.stage_line_dedup(spark, df, "").collect()) == [0, 2]
+
+
 def test_line_dedup_of_edge_documents(spark, docs):
     done = line_dedup.dedup(docs).collect()
     assert Counter(r.row for r in done) == Counter(docs.collect())
