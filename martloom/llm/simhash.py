@@ -17,11 +17,14 @@ so a large bucket costs 65 rows per fingerprint and loses no connection.
 Fingerprints equal each other in groups of any size; they are reduced to one
 before the index is made.
 
-The pipeline stage links texts by their words instead: twelve independent
-fingerprints over the set of words of each text, within two bits in any of them,
-give candidates (nine of ten pairs or more at similarity 0.8, nearly all above
-0.85; README has the measured share), and a link needs a Jaccard similarity of 0.8 on five-word shingles,
-which is computed exactly.
+The pipeline stage does not use fingerprints. It links texts with a Jaccard
+similarity of 0.8 or more on their sets of five-word shingles and misses none:
+in one order of all shingles, two such sets have their first common shingle near
+the start of both (prefix filter), so only the first fifth of each set is
+listed, and texts meet under a shingle only if enough of both sets is left from
+there on. The order puts shingles from fuller cells of a table of counts last.
+Texts under one shingle are verified with the least of them first; then all
+pairs that this has not connected are, so no bucket's size decides what stays.
 
 Defined results: a null text is an empty one; texts without words have
 fingerprint zero and are linked like any others; a null id is never a component
@@ -51,10 +54,9 @@ HOT = 48
 WORDS = 3  # of a shingle of the query's fingerprint
 BLOCK = 1 << 15  # shingles counted at once
 
-SET_PRINTS = 12  # fingerprints of the stage
 SET_WORDS = 5
-SIMILAR = 0.8
-FAR_BITS = 108  # of 768: beyond, a pair at SIMILAR does not occur
+SIMILAR = (4, 5)  # least Jaccard similarity of a link, as a fraction of whole numbers
+CELL_BITS = 18  # of a shingle's hash: its cell in the table of counts
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -176,73 +178,155 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def set_prints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents in ``row`` with ``same``, a hash of the word sequence, and the fingerprints of their words."""
+def word_hashes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Documents in ``row`` with ``same``, a hash of the word sequence."""
     rows = docs.select(packed(docs), F.coalesce(named(text), F.lit("")).alias("text"))
-    salts = np.array([xxhash.xxh64_intdigest(bytes([k]), SEED) | 1 for k in range(SET_PRINTS)], np.uint64)
 
     def hashed(batches):
         for batch in batches:
-            same, prints = [], []
-            for t in batch.column("text"):
-                words = t.as_py().encode().lower().split()
-                same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                base = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
-                found = []
-                for salt in salts:
-                    mixed = (base ^ (base >> np.uint64(31))) * salt
-                    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                    found.append(signed(fingerprint(mixed ^ (mixed >> np.uint64(32)))))
-                prints.append(found)
-            more = [pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *more], ["row", "same", "prints"])
+            same = [xxhash.xxh3_128_digest(b" ".join(t.as_py().encode().lower().split())) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(same, pa.binary())], ["row", "same"])
+
+    return rows.mapInArrow(hashed, output(rows, ["row"], "same binary"))
+
 
-    return rows.mapInArrow(hashed, output(rows, ["row"], "same binary, prints array<long>"))
+def shingle_set(text: str, size: int = SET_WORDS) -> np.ndarray:
+    """Distinct hashes of the shingles; of all words where there are fewer than ``size``."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    base = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - size + 1)
+    mixed = np.ones(n, np.uint64)
+    for k in range(min(size, len(words))):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + base[k : k + n]
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(mixed ^ (mixed >> np.uint64(30)))
 
 
-def shingle_sets(texts: DataFrame, words: int = SET_WORDS) -> DataFrame:
-    """(id, shingles) from (id, text): the distinct shingle hashes."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles) from (id, text)."""
 
     def hashed(batches):
         for batch in batches:
-            found = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column("text")]
+            found = [shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
     return texts.mapInArrow(hashed, "id long, shingles array<long>")
 
 
-def groups_of_near_copies(texts: DataFrame, prints: DataFrame) -> DataFrame:
-    """(node, root) of texts that are connected by links of SIMILAR or more.
+def cell_ranks(texts: DataFrame) -> np.ndarray:
+    """Place of each cell of shingle hashes when the emptiest comes first."""
+
+    def counted(batches):
+        counts = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for t in batch.column("text"):
+                np.add.at(counts, shingle_set(t.as_py()) >> np.uint64(64 - CELL_BITS), 1)
+        cells = np.flatnonzero(counts)
+        for at in range(0, len(cells), BLOCK):
+            part = cells[at : at + BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], ["cell", "n"])
+
+    # At most 2^CELL_BITS rows for any input.
+    found = texts.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    ranks = np.empty(1 << CELL_BITS, np.uint32)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(1 << CELL_BITS, dtype=np.uint32)
+    return ranks
 
-    ``texts``: id, text. ``prints``: id, prints, of the texts to be compared.
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """(shingle, id, size, rest): the shingles that can be the first common one of a link.
+
+    ``size``: shingles of the text. ``rest``: how many of them stand at this one or behind.
     """
-    nodes = prints.select("id", F.posexplode("prints").alias("print", "fp"))
-    found = stage(links(nodes), "candidates")
-    both = found.join(prints.select(F.col("id").alias("a"), F.col("prints").alias("pa")), "a").join(
-        prints.select(F.col("id").alias("b"), F.col("prints").alias("pb")), "b"
-    )
-    apart = F.aggregate(
-        F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
-    near = stage(both.where(apart <= FAR_BITS).select("a", "b"), "near")
-    wanted = stage(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "wanted")
+    ranks = cell_ranks(texts)
+    part, whole = SIMILAR
+    below = np.uint64(64 - CELL_BITS)
+
+    def listed(batches):
+        for batch in batches:
+            ids, shingles, sizes, rests = [], [], [], []
+            for key, t in zip(batch.column("id").to_pylist(), batch.column("text")):
+                found = shingle_set(t.as_py())
+                # The cell is replaced by its rank, so that hashes stay distinct and sort in the common order.
+                found = np.sort((ranks[found >> below].astype(np.uint64) << below) | (found & np.uint64((1 << int(below)) - 1)))
+                n = len(found)
+                first = n - (part * n + whole - 1) // whole + 1 if n else 0
+                ids.append(np.full(first, key, np.int64))
+                shingles.append(found[:first].view(np.int64))
+                sizes.append(np.full(first, n, np.int32))
+                rests.append(np.arange(n, n - first, -1, dtype=np.int32))
+            if ids:
+                columns = [pa.array(np.concatenate(c)) for c in (shingles, ids, sizes, rests)]
+                yield pa.RecordBatch.from_arrays(columns, ["shingle", "id", "size", "rest"])
+
+    return texts.mapInArrow(listed, "shingle long, id long, size int, rest int")
+
+
+def can_link(a: str, b: str) -> Column:
+    """Whether sets whose first common shingle is this one can be SIMILAR: what is left of both holds what they must share."""
+    part, whole = SIMILAR
+    total = (F.col(f"{a}.size") + F.col(f"{b}.size")).cast("long")
+    return F.least(f"{a}.rest", f"{b}.rest") * (part + whole) >= part * total
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are SIMILAR, by their whole sets."""
+    wanted = stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
     # Both lists of ids grow with the texts: dealt by id at every size, not broadcast while they are short.
     sets = stage(shingle_sets(texts.join(wanted.hint("merge"), "id", "left_semi")), "shingles")
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
     )
     shared = F.size(F.array_intersect("sa", "sb"))
-    return components(both.where(shared >= SIMILAR * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    part, whole = SIMILAR
+    return stage(both.where(whole * shared >= part * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "verified")
+
+
+def groups_of_near_copies(texts: DataFrame) -> DataFrame:
+    """(node, root) of texts (id, text) that are connected by links of SIMILAR or more."""
+    listed = stage(prefixes(texts), "prefixes")
+    filled = stage(listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"), "buckets")
+    posted = stage(listed.join(filled, "shingle"), "postings")
+    # First every text with the least one under a shingle.
+    centres = stage(posted.groupBy("shingle").agg(F.min(F.struct("id", "size", "rest")).alias("c")).select("shingle", "c.*"), "centres")
+    met = posted.alias("p").join(centres.alias("c"), F.col("p.shingle") == F.col("c.shingle"))
+    others = met.where("p.id <> c.id")
+    stars = others.where(can_link("p", "c")).select(F.col("c.id").alias("a"), F.col("p.id").alias("b"))
+    found = verified(texts, stage(stars.distinct(), "star-pairs"))
+    roots = stage(components(found), "star-roots")
+    # Then all pairs under a shingle that are not connected yet. The largest group of a bucket is not paired with itself.
+    rooted = stage(
+        others.select("p.*").join(roots, F.col("id") == F.col("node"), "left").select(
+            "shingle", "id", "size", "rest", F.coalesce("root", "id").alias("root")
+        ),
+        "rooted",
+    )
+    held = stage(rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")), "bucket-groups")
+    main = held.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("groups"))
+    main = stage(main.where("groups > 1").select("shingle", F.col("main.root").alias("main")), "mixed-buckets")
+    mixed = stage(rooted.join(main, "shingle"), "mixed")
+    left, right = mixed.where("root <> main").alias("l"), mixed.alias("r")
+    apart = (F.col("l.root") != F.col("r.root")) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
+    pairs = left.join(right, (F.col("l.shingle") == F.col("r.shingle")) & apart & can_link("l", "r")).select(
+        F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")
+    )
+    more = verified(texts, stage(pairs.distinct(), "open-pairs"))
+    return components(found.union(more))
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group of exact and near copies."""
-    rows = stage(set_prints(docs).withColumn("id", F.monotonically_increasing_id()), "set-prints")
+    rows = stage(word_hashes(docs).withColumn("id", F.monotonically_increasing_id()), "word-hashes")
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "id"))
     # One row for each word sequence, then one for each group of those.
     single = stage(rows.groupBy("same").agg(first.alias("first")).select("first.*"), "single")
-    prints = stage(rows.select("id", "prints").join(single.select("id"), "id", "left_semi"), "single-prints")
-    roots = groups_of_near_copies(rows.select("id", F.coalesce("row.text", F.lit("")).alias("text")), prints)
+    texts = rows.select("id", F.coalesce("row.text", F.lit("")).alias("text"))
+    roots = groups_of_near_copies(stage(texts.join(single.select("id").hint("merge"), "id", "left_semi"), "single-texts"))
     grouped = single.join(roots, F.col("id") == F.col("node"), "left")
     kept = grouped.groupBy(F.coalesce("root", "id").alias("g")).agg(F.min(F.struct("none", "doc_id", "id")).alias("m"))
     stay = rows.join(kept.select("m.id").hint("merge"), "id", "left_semi")

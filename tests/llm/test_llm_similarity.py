@@ -116,6 +116,63 @@ def test_near_dedup_stage(spark, docs):
             assert r in set(kept)
 
 
+def kept_by_brute_force(texts):
+    """Least text of each component of Jaccard similarity 0.8 or more on five-word shingles."""
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append(frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))))
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return {k for k in parent if root(k) == k}
+
+
+def stage_keeps(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in simhash.stage_near_dedup(spark, df, "").collect()}
+
+
+def test_near_dedup_finds_every_passage_edit(spark):
+    rng = random.Random(4)
+    prose = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    texts = []
+    for n in (100, 260, 800):
+        for share in (0.05, 0.08, 0.1, 0.15, 0.2, 0.24, 0.26):  # Jaccard of about 0.95 to 0.8 and just below
+            base, more = prose(n), prose(int(n * share))
+            at = rng.randrange(n - len(more))
+            texts += [" ".join(base), " ".join(base + more)]
+            base = prose(n)
+            texts += [" ".join(base), " ".join(base[:at] + more[: len(more) // 2] + base[at + len(more) // 2 :])]
+    texts += ["a", "a b", "A  b", "", "one two three four five"]
+    kept = kept_by_brute_force(texts)
+    assert len(kept) < len(texts) - 30
+    assert stage_keeps(spark, texts) == kept
+
+
+def test_near_dedup_of_one_vocabulary_in_other_orders(spark):
+    """Pairs alike to each other and not to the least text of their many shared shingles."""
+    rng = random.Random(6)
+    words = [f"v{k}" for k in range(60)]
+    texts, common = [], [f"c{k}" for k in range(12)]
+    for _ in range(40):
+        order = rng.sample(words, 60) + common
+        texts += [" ".join(order), " ".join(order + ["end"])]
+    rng.shuffle(texts)
+    kept = kept_by_brute_force(texts)
+    assert len(kept) == 40
+    assert stage_keeps(spark, texts) == kept
+
+
 def brute_nearest(ids, x, top=20):
     out = {}
     for q in np.flatnonzero(ids % 20 == 0):
