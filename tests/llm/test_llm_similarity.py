@@ -173,6 +173,20 @@ def test_near_dedup_of_one_vocabulary_in_other_orders(spark):
     assert stage_keeps(spark, texts) == kept
 
 
+def test_near_dedup_keeps_no_pair_far_apart_in_words(spark):
+    """Appended passages of new words at exactly 0.8 and one shingle below."""
+    texts = []
+    for n in range(104, 404, 20):  # n - 4 shingles, of which the longer text has a quarter more
+        base = [f"t{n}w{k}" for k in range(n)]
+        more = (n - 4) // 4
+        texts += [" ".join(base), " ".join(base + [f"t{n}x{k}" for k in range(more)])]
+        texts.append(" ".join([f"u{n}w{k}" for k in range(n)]))
+        texts.append(" ".join([f"u{n}w{k}" for k in range(n)] + [f"u{n}x{k}" for k in range(more + 1)]))
+    kept = kept_by_brute_force(texts)
+    assert len(kept) == len(texts) * 3 // 4
+    assert stage_keeps(spark, texts) == kept
+
+
 def brute_nearest(ids, x, top=20):
     out = {}
     for q in np.flatnonzero(ids % 20 == 0):
