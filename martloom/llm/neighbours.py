@@ -145,7 +145,8 @@ def square_gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
 def search_block(space: Projection, x: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Best ``k`` rows of ``x`` for each query, and their scores; -1 where there are fewer.
 
-    ``bound``: squared distance of the k-th best that each query has so far.
+    ``bound``: squared distance of the k-th best that each query has so far. ``SPARE`` of the ``k`` are kept for rounding
+    only: a search ends at the best before them.
     """
     limit = chi_square_quantile(CONFIDENCE, DIMENSIONS)
     points = space.points(x)
@@ -161,7 +162,7 @@ def search_block(space: Projection, x: np.ndarray, q: np.ndarray, bound: np.ndar
         order = np.argsort(gaps, axis=1, kind="stable")
         for turn in range(len(leaves)):
             near = order[active - start, turn]
-            reach = np.minimum(bound[active], space.square_distance(best[active, TOP], norms[active]))
+            reach = np.minimum(bound[active], space.square_distance(best[active, k - 1 - SPARE], norms[active]))
             go = gaps[active - start, near] <= limit * reach
             active, near = active[go], near[go]
             if not len(active):

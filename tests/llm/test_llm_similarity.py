@@ -218,6 +218,19 @@ def test_neighbours_recall_and_scores(spark, folder, monkeypatch, cell, block):
     assert hit >= 0.95 * 20 * len(want)
 
 
+@pytest.mark.parametrize("top", [5, 20, 100])
+def test_block_search_ends_at_the_top_asked_for(top):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 16)) * 4
+    x = np.concatenate([c + 0.3 * rng.standard_normal((100, 16)) for c in centres])
+    space = neighbours.Projection(16, float(np.linalg.norm(x, axis=1).max()))
+    q = x[::150]
+    k = top + 1 + neighbours.SPARE
+    rows, _ = neighbours.search_block(space, x, q, np.full(len(q), np.inf), k)
+    want = np.argsort(-(q @ x.T), axis=1)[:, : top + 1]
+    assert sum(len(set(a) & set(b)) for a, b in zip(rows, want)) >= 0.99 * want.size
+
+
 def test_neighbours_of_edge_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((90, 4)) * rng.uniform(0.1, 10, (90, 1))
