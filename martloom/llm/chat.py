@@ -13,8 +13,8 @@ the text. Line breaks and backslashes of a role are written as escapes.
 
 Defined results: a null text or role is an empty one; a null score counts as 0;
 a message whose parent is missing or null starts a tree of its own; messages on
-a cycle are on no path; a message id that repeats in a tree is told apart by its
-content, and whole repeated rows stay turns of their own in ``thread``. A null
+a cycle are on no path; of messages with one id in a tree only the least by
+content stays in ``paths``, the others are dropped, and whole repeated rows stay turns of their own in ``thread``. A null
 tree id is a tree. An empty table gives no rows. Extra columns are ignored.
 A formatted path is one row: the longest conversation must fit into one.
 """
@@ -74,7 +74,9 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """(tree, leaf, place, role, text) of the best ``branches`` paths of every tree, all if None.
 
     ``messages``: tree, id, parent, role, text, score. Ties of the mean score go
-    to the longer path, then to the smaller leaf id.
+    to the longer path, then to the smaller leaf id. Of messages that share tree
+    and id but differ in content, all but the least (parent, role, text, score)
+    are dropped.
     """
     content = F.min(F.struct("parent", "role", "text", "score"))
     single = messages.groupBy("tree", "id").agg(content.alias("m")).select("tree", "id", "m.*")
