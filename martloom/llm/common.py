@@ -16,6 +16,14 @@ from martloom.session import stage
 #: A word is a maximal run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a plain word: 0-9, A-Z lower-cased, a-z and all of other characters; any other byte parts words.
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b in b"0123456789abcdefghijklmnopqrstuvwxyz" or b > 127 else 32 for b in range(256))
+
+
+def plain_words(text: bytes) -> list[bytes]:
+    return text.translate(PLAIN).split()
+
+
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 

@@ -64,4 +64,5 @@ def empty_dir(spark, no_docs, tmp_path_factory):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{root}/conversations.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     return str(root)

@@ -5,9 +5,12 @@ import pytest
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from checks.compare import compare, connect
-from martloom.llm.queries import ORACLES, QUERIES
+from martloom.llm.queries import ORACLES
+from martloom.llm.queries import QUERIES as OPERATORS
 from martloom.session import stage
 
+QUERIES = OPERATORS | {"pipeline": corpus_pipeline.run}
+
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_query_equals_sql(spark, folder, key):
@@ -22,7 +25,7 @@ def test_empty_tables(spark, empty_dir, key):
 
 def test_registered():
     assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline") == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline") == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, docs, edge_dir):
