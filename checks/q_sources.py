@@ -8,7 +8,7 @@ from checks.model_sql import VALID
 from checks.registry import Tables, query
 from checks.text_tables import text_detail, text_order, with_text
 from martloom.functions.columns import is_blank, with_etl_columns
-from martloom.operators import clean, sales, wide
+from martloom.operators import clean, sales, versions, wide
 from martloom.sources import layout, partitions, schemas, sinks, tables
 
 MONTH = "1997-05"
@@ -153,6 +153,37 @@ def incremental_month_job(t: Tables):
     return partitions.incremental_month_job(sales.valid_sales(rows, t.statuses), MONTH, path)
 
 
+@query(
+    "upsert_months",
+    "order_month:s row_count:i amount:d corrected_rows:i",
+    f"""WITH delta AS (SELECT order_detail_id, actual_amount + 1 AS actual_amount,
+      CASE WHEN order_id % 5 = 0 THEN order_time + INTERVAL 1 MONTH ELSE order_time END AS order_time, 1 AS corrected
+      FROM wide WHERE strftime(order_time, '%Y-%m') = '{MONTH}' AND quantity >= 40),
+    merged AS (SELECT * FROM delta UNION ALL SELECT order_detail_id, actual_amount, order_time, 0 FROM wide
+      WHERE order_time IS NOT NULL AND order_detail_id NOT IN (SELECT order_detail_id FROM delta))
+    SELECT strftime(order_time, '%Y-%m') AS order_month, count(*) AS row_count, sum(actual_amount) AS amount, sum(corrected) AS corrected_rows
+    FROM merged GROUP BY 1""",
+)
+def upsert_months(t: Tables):
+    """Some lines of one month are corrected, a part of them moves to the next month."""
+    path, time = t.scratch("months"), "2025-{}-01 00:00:00"
+    columns = ("order_detail_id", "order_id", "quantity", "actual_amount", "order_time")
+    rows = _detail_with_time(t).select(*columns)
+    base = versions.versioned(rows, versions.ORIGINAL, F.lit(time.format("01")).cast("timestamp_ntz"))
+    partitions.month_partition_write(base, path)
+    moved = F.when(F.col("order_id") % 5 == 0, F.col("order_time") + F.expr("INTERVAL 1 MONTH")).otherwise(F.col("order_time"))
+    fixed_up = partitions.in_month(rows, MONTH).filter(F.col("quantity") >= 40).withColumns(
+        {"actual_amount": (F.col("actual_amount") + 1).cast("decimal(18,2)"), "order_time": moved}
+    )
+    delta = versions.versioned(fixed_up, versions.CORRECTED, F.lit(time.format("02")).cast("timestamp_ntz"))
+    partitions.upsert_months(delta, path, "order_detail_id")
+    return partitions.read_months(t.spark, path).groupBy("order_month").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum("actual_amount").alias("amount"),
+        F.count(F.when(F.col("record_source") == versions.CORRECTED, 1)).alias("corrected_rows"),
+    )
+
+
 @query(
     "file_layout_audit",
     "table_name:s files:i row_count:i small_files:b",

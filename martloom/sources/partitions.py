@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.functions import fixed
+from martloom.operators import versions
+from martloom.session import stage
+from martloom.sources.publish import Folder, incoming, publish, repair
 from martloom.sources.sinks import observed, rows_seen
-from martloom.sources.tables import path_exists
 
 PARTITION = "order_month"
 
@@ -59,6 +61,10 @@ def read_months(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn(PARTITION, F.col(PARTITION).cast("string"))
 
 
+def has_months(spark: SparkSession, path: str) -> bool:
+    return any(name.startswith(f"{PARTITION}=") for name in Folder(spark, path).names(""))
+
+
 def partition_rows(spark: SparkSession, path: str) -> DataFrame:
     return read_months(spark, path).groupBy(PARTITION).agg(F.count(F.lit(1)).alias("row_count"))
 
@@ -102,7 +108,7 @@ def dynamic_partition_overwrite(df: DataFrame, month: str, path: str) -> int:
 
 def _split(spark: SparkSession, path: str, month: str) -> tuple[int, int]:
     """Rows in ``month`` and in all others; 0, 0 while there is no table."""
-    if not path_exists(spark, path):
+    if not has_months(spark, path):
         return 0, 0
     target = F.col(PARTITION) == month
     row = (
@@ -116,15 +122,20 @@ def _split(spark: SparkSession, path: str, month: str) -> tuple[int, int]:
 def incremental_month_job(df: DataFrame, month: str, path: str) -> DataFrame:
     """Load one month and check it: three rows, (check, expected, actual, passed).
 
-    Zero rows is an error; a dynamic overwrite with no rows changes nothing, so
-    raising after the write is safe and the source is read once.
+    The month is written aside and checked there; only a month that passes
+    replaces the old one. Zero rows is an error. A job that an earlier one left
+    half published is finished first.
     """
     spark = df.sparkSession
+    repair(spark, path)
     before_target, before_other = _split(spark, path, check_month(month))
-    loaded = dynamic_partition_overwrite(df, month, path)
+    staged = incoming(path)
+    loaded = _write(with_month(in_month(df, month)), staged, "static")
     if loaded == 0:
+        repair(spark, path)  # drops what is not marked
         raise ValueError(f"no rows for month {month}")
-    target, other = _split(spark, path, month)
+    target, stray = _split(spark, staged, month)
+    other = _split(spark, path, month)[1] + stray
     checks = [
         ("target_month", loaded, target),
         ("other_months", before_other, other),
@@ -132,6 +143,47 @@ def incremental_month_job(df: DataFrame, month: str, path: str) -> DataFrame:
     ]
     failed = [name for name, want, got in checks if want != got]
     if failed:
+        repair(spark, path)
         raise ValueError(f"incremental load of {month} failed: {failed}")
+    publish(spark, path, staged, [f"{PARTITION}={month}"])
     rows = [(name, want, got, want == got) for name, want, got in checks]
     return spark.createDataFrame(rows, "check_name string, expected bigint, actual bigint, passed boolean")
+
+
+def upsert_months(delta: DataFrame, path: str, key: str) -> DataFrame:
+    """Merge corrections into a month table; returns (order_month, rows_before, rows_after) of the months rewritten.
+
+    Only months are read and rewritten in which a key of ``delta`` stands or to
+    which it comes; a record may move from one month to another. The newest
+    version per key wins (``versions.latest_version``). The merged months are
+    written aside, checked against counts taken from base and delta, and then
+    published; a failed check leaves the table as it was. ``delta`` must have a
+    month in every row and the table's columns.
+    """
+    spark = delta.sparkSession
+    repair(spark, path)
+    delta = stage(with_month(delta), "delta")
+    if not delta.filter(F.col(PARTITION).isNull()).isEmpty():
+        raise ValueError("corrections without a month cannot be placed")
+    table = read_months(spark, path) if has_months(spark, path) else delta.limit(0)
+    keys = delta.select(F.col(key).alias("__delta")).distinct()
+    standing = table.join(keys, F.col(key).eqNullSafe(F.col("__delta")), "left_semi").select(PARTITION)
+    # One row per month of the calendar.
+    months = sorted(r[0] for r in standing.union(delta.select(PARTITION)).distinct().collect())
+    base = table.where(F.col(PARTITION).isin(months)).select(*delta.columns)
+    staged = incoming(path)
+    _write(versions.latest_version(base, delta, key), staged, "static")
+    merged = read_months(spark, staged) if months else base
+    try:
+        versions.require_merged(versions.merge_checks(base, delta, key), merged, key)
+        before = base.groupBy(PARTITION).agg(F.count(F.lit(1)).alias("rows_before"))
+        after = merged.groupBy(PARTITION).agg(F.count(F.lit(1)).alias("rows_after"))
+        rows = before.join(after, PARTITION, "full").select(
+            PARTITION, F.coalesce("rows_before", F.lit(0)).alias("rows_before"), F.coalesce("rows_after", F.lit(0)).alias("rows_after")
+        ).collect()
+    except ValueError:
+        repair(spark, path)
+        raise
+    if months:
+        publish(spark, path, staged, [f"{PARTITION}={m}" for m in months])
+    return spark.createDataFrame(rows, f"{PARTITION} string, rows_before bigint, rows_after bigint")
