@@ -82,8 +82,8 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     single = messages.groupBy("tree", "id").agg(content.alias("m")).select("tree", "id", "m.*")
     pinned = stage(
         single.select(
-            # Hashes of the key: one joinable column that is never null.
-            F.xxhash64(F.col("tree").isNull(), "tree").alias("t"), "tree", "id",
+            # One joinable column that is never null, and that no two trees share.
+            F.coalesce(F.concat(F.lit("t"), F.col("tree").cast("string")), F.lit("")).alias("t"), "tree", "id",
             "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
             F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
         ),

@@ -130,7 +130,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates the large-star and small-star steps: each keeps the components
     and never adds edges, and a node's neighbours are reduced by ``min`` before
-    they are joined back, so a star of any size is no group in one task. Each
+    they are joined back. The joins are null-safe, so that they do not ride on the
+    grouping's exchange and the edges of a hub can be split over tasks. Each
     round is written to the shared folder, which also cuts the lineage. Ends when
     every edge hangs on a least node, after about log(longest chain) rounds.
     Nodes without an edge are not in the result.
@@ -143,14 +144,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
         # Large star: every larger neighbour of v hangs on the least node around v.
         large = (
-            both.where("u > v").alias("e").join(least.alias("l"), F.col("e.v") == F.col("l.v"))
+            both.where("u > v").alias("e").join(least.alias("l"), same("e", "l", ["v"]))
             .select(F.col("e.u").alias("v"), F.col("l.m").alias("u"))
         )
         large = stage(large.distinct(), "large-star")
         # Small star: the smaller neighbours of v, and v, hang on the least of them.
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = (
-            large.alias("e").join(low.alias("l"), F.col("e.v") == F.col("l.v"))
+            large.alias("e").join(low.alias("l"), same("e", "l", ["v"]))
             .select(F.col("e.u").alias("v"), F.col("l.m").alias("u")).where("u <> v")
             .union(low.select("v", F.col("m").alias("u")))
         )

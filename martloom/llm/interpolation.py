@@ -39,6 +39,7 @@ from martloom.session import stage
 FOLDS, HELD_OUT, DELETED = 7, 2, 4
 BLOCK = 1_000_000  # tokens
 END = b" "  # no word holds a blank
+SHARD_BLOCKS = 4  # blocks whose counts together are as many as one shard's
 ROUNDS = 12
 BUCKETS = 48
 TRAIN, LEFT_OUT, TEST = 0, 1, 2
@@ -179,8 +180,10 @@ def totals(asked: DataFrame) -> DataFrame:
             if not rows:
                 continue
             hashes = [np.cumsum(expand(r["hashes"], np.uint64), dtype=np.uint64) for r in rows]
-            _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-            sums = [np.bincount(which, np.concatenate([expand(r[c], np.uint32) for r in rows])).astype(np.uint32) for c in ("total", "left_out")]
+            names, which = np.unique(np.concatenate(hashes), return_inverse=True)
+            sums = [np.zeros(len(names), np.uint64) for _ in range(2)]
+            for c, held in zip(("total", "left_out"), sums):
+                np.add.at(held, which, np.concatenate([expand(r[c], np.uint32) for r in rows]).astype(np.uint64))
             at = 0
             for r, h in zip(rows, hashes):
                 mine = which[at : at + len(h)]
@@ -188,7 +191,7 @@ def totals(asked: DataFrame) -> DataFrame:
                 out.append({"block": r["block"], "kind": kind, "shard": r["shard"],
                             "total": squeeze(sums[0][mine]), "left_out": squeeze(sums[1][mine])})
             if kind == 1:
-                out.append({"types": int((sums[0] > 0).sum()), "sum": int(sums[0].sum(dtype=np.int64)), "left_sum": int(sums[1].sum(dtype=np.int64))})
+                out.append({"types": int((sums[0] > 0).sum()), "sum": int(sums[0].sum()), "left_sum": int(sums[1].sum())})
         return pa.Table.from_pylist(out, REPLY)
 
     return asked.groupBy("shard").applyInArrow(
@@ -211,12 +214,12 @@ def counted_blocks(blocks: DataFrame, replies: DataFrame) -> DataFrame:
         for kind, name in ((1, "words"), (2, "pairs")):
             parts = sorted((r for r in told.to_pylist() if r["kind"] == kind), key=lambda r: r["shard"])
             for column, label in (("total", "all"), ("left_out", "left")):
-                found[f"{label}_{name}"] = np.concatenate([expand(p[column], np.uint32) for p in parts])
+                found[f"{label}_{name}"] = np.concatenate([expand(p[column], np.uint64) for p in parts])
         times = block.counts(block.pair, len(block.pairs))[1]
         seen = np.flatnonzero(times)
         at = block.at[seen]
         kept = {name: found[f"all_{name}"] - found[f"left_{name}"] for name in ("words", "pairs")}
-        events = [kept["pairs"][seen], kept["words"][block.before[at]], kept["words"][block.tokens[at]], times[seen]]
+        events = [kept["pairs"][seen], kept["words"][block.before[at]], kept["words"][block.tokens[at]], times[seen].astype(np.uint64)]
         more = {**found, **dict(zip(EVENTS, events))}
         return pa.table({"ids": own.column("ids"), **{c: pa.array([row[c] if c in row else squeeze(more[c])], pa.binary()) for c in names}})
 
@@ -244,7 +247,7 @@ def learn(counted: DataFrame, total: int, types: int, rounds: int = ROUNDS) -> n
             gained = np.zeros((BUCKETS, 3))
             for batch in batches:
                 for row in batch.to_pylist():
-                    pair, context, word, times = [expand(row[c], np.uint32).astype(float) for c in EVENTS]
+                    pair, context, word, times = [expand(row[c], np.uint64).astype(float) for c in EVENTS]
                     bucket = bucket_of(context)
                     parts = weights[bucket] * shares(pair, context, word, total, types)
                     parts *= (times / parts.sum(axis=1))[:, None]
@@ -268,7 +271,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int =
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     spark = docs.sparkSession
     blocks = stage(blocks_of(docs, key, text, block), "token-blocks")
-    answers = stage(totals(requests(blocks, shuffle_partitions(spark))), "counts")
+    # A shard's counts are one group: their number follows the data, not only the setting.
+    shards = max(shuffle_partitions(spark), -(-blocks.count() // SHARD_BLOCKS))
+    answers = stage(totals(requests(blocks, shards)), "counts")
     sums = answers.where("types is not null").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "sum", "left_sum")]
     ).first()
@@ -280,7 +285,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int =
         for batch in batches:
             for row in batch.to_pylist():
                 block = unpack(row)
-                words, pairs = expand(row["all_words"], np.uint32), expand(row["all_pairs"], np.uint32)
+                words, pairs = expand(row["all_words"], np.uint64), expand(row["all_pairs"], np.uint64)
                 base = np.log10((words + 1.0) / (total + types + 1.0))
                 context = words[block.before[block.at]].astype(float)
                 parts = shares(pairs.astype(float), context, words[block.tokens[block.at]].astype(float), total, types)

@@ -14,11 +14,10 @@ runs at all others are later copies; overlapping copies are merged and deleted.
 "First" is by doc_id, nulls last, then by input order, then by place in the text.
 
 Runs that start at a line leave the end of a maximal repeated run, where fewer
-than ``MIN_WORDS`` words follow. With ``tails`` the shortest run that ends at
-each line is looked up by the same names. A line of a maximal run has enough
-words behind it or is in the shortest run that ends with it, so both together
-are the maximal repeated runs. The pipeline stage has ``tails``; the query
-op10_line_dedup is defined by its SQL, which knows runs by their start only.
+than ``MIN_WORDS`` words follow, so the shortest run that ends at each line is
+looked up by the same names. A line of a maximal run has enough words behind it
+or is in the shortest run that ends with it: both together are the maximal
+repeated runs, deleted to their very end.
 
 DataFrame operations only. Line numbers are 128 bits of hash of the line.
 
@@ -26,8 +25,9 @@ Defined results: a null text has no lines and stays null; lines without a word
 are no part of a run and go with a run only from inside it; a document whose
 words are all later copies is left with an empty text, which the pipeline
 stage drops; repeated rows are documents of their own, so whole copies of
-``MIN_WORDS`` words or more are deleted but for the first (without ``tails``,
-but for their tail too); an empty table gives no rows. All columns are carried, whatever their names.
+``MIN_WORDS`` words or more are deleted but for the first; an empty table gives no rows.
+A text of any length is read whole, line by line; only its lines' hashes are shuffled.
+All columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ from martloom.session import stage
 MIN_WORDS = 50
 
 
-def line_table(rows: DataFrame, min_words: int, tails: bool = False) -> DataFrame:
-    """(id, seq, line, h1, h2, need) of the lines with a word, with ``held`` if ``tails``.
+def line_table(rows: DataFrame, min_words: int) -> DataFrame:
+    """(id, seq, line, h1, h2, need, held) of the lines with a word.
 
     ``need`` is the number of lines of the shortest run of ``min_words`` words
     that starts at the line, null if the text ends before; ``held`` that of the
@@ -63,8 +63,6 @@ def line_table(rows: DataFrame, min_words: int, tails: bool = False) -> DataFram
     within = text.orderBy("at").rangeBetween(Window.currentRow, min_words - 1)
     sized = at.withColumn("count", F.count(F.lit(1)).over(within)).withColumn("all", F.sum("words").over(text))
     need = F.when(F.col("all") - F.col("at") >= min_words, F.col("count")).alias("need")
-    if not tails:
-        return sized.select("id", "seq", "line", "h1", "h2", need)
     # Lines that end less than min_words words before this one's end.
     sized = sized.withColumn("end", F.col("at") + F.col("words"))
     behind = text.orderBy("end").rangeBetween(1 - min_words, Window.currentRow)
@@ -94,17 +92,16 @@ def suffix_names(lines: DataFrame, longest: int) -> list[DataFrame]:
     return levels
 
 
-def copied_runs(rows: DataFrame, min_words: int = MIN_WORDS, tails: bool = False) -> DataFrame:
-    """(id, first, last, source, lines): runs of lines that are later copies, to their very end with ``tails``.
+def copied_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, first, last, source, lines): maximal runs of lines that are later copies.
 
     ``rows``: id, doc_id, text. ``source`` is the document of the original of the run's first part.
     """
-    lines = stage(line_table(rows, min_words, tails), "lines")
+    lines = stage(line_table(rows, min_words), "lines")
     starts = lines.where("need is not null").select("id", "seq", F.col("need").alias("m"))
-    if tails:
-        # A run may be the shortest from both of its ends.
-        ends = lines.where("held is not null").select("id", (F.col("seq") - F.col("held") + 1).alias("seq"), F.col("held").alias("m"))
-        starts = starts.union(ends).distinct()
+    # A run may be the shortest from both of its ends.
+    ends = lines.where("held is not null").select("id", (F.col("seq") - F.col("held") + 1).alias("seq"), F.col("held").alias("m"))
+    starts = starts.union(ends).distinct()
     longest = starts.agg(F.max("m")).first()[0] or 0  # at most min_words, every line has a word
     levels = suffix_names(lines, longest)
     prefixes = None
@@ -138,14 +135,12 @@ def copied_runs(rows: DataFrame, min_words: int = MIN_WORDS, tails: bool = False
     )
 
 
-def dedup(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, tails: bool = False
-) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """Documents in ``row``, with ``text`` after dedup, ``runs`` (deleted line spans), ``n_lines`` and ``left_words``."""
     # The id is pinned by writing it, and gives equal rows their order.
     pinned = stage(docs.select(packed(docs), F.monotonically_increasing_id().alias("id")), "line-documents")
     rows = pinned.select("id", F.col("row").getField(key).alias("doc_id"), F.col("row").getField(text).alias("text"))
-    runs = stage(copied_runs(rows, min_words, tails), "copied-runs")
+    runs = stage(copied_runs(rows, min_words), "copied-runs")
     span = F.struct("first", "last", "source")
     per_text = runs.groupBy("id").agg(F.sort_array(F.collect_list(span)).alias("runs"))
     # The runs grow with the texts: dealt by id at every size, not broadcast while they are few.
@@ -182,7 +177,7 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     ``n_chars`` of a changed text is counted anew.
     """
-    done = dedup(docs, tails=True).where(F.col("runs").isNull() | (word_count(F.col("text")) > 0))
+    done = dedup(docs).where(F.col("runs").isNull() | (word_count(F.col("text")) > 0))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("runs").isNotNull(), F.length("text")).otherwise(F.col("row").getField("n_chars")).cast("long")
@@ -196,17 +191,13 @@ WITH split AS (
 ), worded AS (
   SELECT doc_id, t, line, row_number() OVER d - 1 AS seq, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words
   FROM split WHERE regexp_matches(t, '[^\x20\x09-\x0D]') WINDOW d AS (PARTITION BY doc_id ORDER BY line)
-), placed AS (
-  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY seq) - words AS begins, sum(words) OVER (PARTITION BY doc_id) AS total,
-         array_agg(t) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS ahead
-  FROM worded
-), sized AS (
-  SELECT *, count(*) OVER (PARTITION BY doc_id ORDER BY begins RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS m FROM placed
+), pairs AS (
+  SELECT p.doc_id, p.seq, p.words, q.doc_id AS other, p.seq - q.seq AS shift
+  FROM worded p JOIN worded q ON p.t = q.t AND (q.doc_id < p.doc_id OR (q.doc_id = p.doc_id AND q.seq < p.seq))
 ), runs AS (
-  SELECT doc_id, seq, m, list_slice(ahead, 1, m) AS run FROM sized WHERE total - begins >= 50
+  SELECT *, seq - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY seq) AS run FROM pairs
 ), copies AS (
-  SELECT doc_id, seq, seq + m - 1 AS stop FROM runs
-  QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, seq) > 1
+  SELECT DISTINCT doc_id, min(seq) AS seq, max(seq) AS stop FROM runs GROUP BY doc_id, other, shift, run HAVING sum(words) >= 50
 ), gone AS (
   SELECT DISTINCT w.doc_id, w.line, w.seq FROM worded w JOIN copies c ON c.doc_id = w.doc_id AND w.seq BETWEEN c.seq AND c.stop
 ), bare AS (

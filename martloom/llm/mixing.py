@@ -9,12 +9,14 @@ differs from its target by little more than its largest document.
 Defined results: a null text or one without words has size 0 and is drawn like
 any other document; a source of size 0 has target 0 and gives nothing; a null
 source is a source, the last one; a source without a weight has weight 0; equal
-rows are rows of their own; an empty table gives an empty mix. All columns of
+rows are rows of their own; a text of any length is one row; an empty table gives an empty mix. All columns of
 the documents are carried, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +28,7 @@ SHARE = 1.5  # of all words
 MOST = 2.0  # times a source
 SEED = 20
 CYCLE = (5, 2, 1)
+MANY = 1_000_000  # sources; a row each, in one task
 
 
 def cycle_weights(sources: DataFrame, cycle=CYCLE) -> DataFrame:
@@ -81,6 +84,8 @@ def mix(docs: DataFrame, size, weights: DataFrame, share: float = SHARE, most: f
     )
     ranked = positions(rows, ["source"], ["size", "tie"], "place")
     sizes = stage(ranked.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
+    if sizes.count() > MANY:
+        warnings.warn(f"more than {MANY} sources: weights and targets are worked out in one task", stacklevel=2)
     goal = targets(sizes, weights, share, most)
     # md5, so that SQL can draw the same offset.
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))))
@@ -117,8 +122,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: the documents of the mix, repeats as rows of their own."""
-    return emit(mix(docs, word_count(F.col("text")), cycle_weights(docs)), docs.columns)
+    """Pipeline: the documents of the mix, repeats as rows of their own.
+
+    Only ids and sizes are ranked; the texts meet their copy counts by id, so
+    they are dealt once at most and not in order of their length.
+    """
+    numbered = docs.select(packed(docs), F.monotonically_increasing_id().alias("id"), word_count(F.col("text")).alias("size"))
+    pinned = stage(numbered, "mix-documents")
+    narrow = pinned.select("id", F.col("row").getField("source").alias("source"), "size", F.col("row").getField("doc_id").alias("doc_id"))
+    mixed = mix(narrow, F.col("size"), cycle_weights(narrow))
+    drawn = mixed.where("copies > 0").select(F.col("row.id").alias("id"), "copies")
+    return emit(pinned.select("row", "id").join(drawn, "id"), docs.columns)
 
 
 OP1_SQL = r"""

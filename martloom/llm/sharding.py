@@ -5,8 +5,9 @@ its shard; no ring table is kept, and when one shard is added only the share of
 rows that belongs into the new shard moves, and only into it.
 
 Defined results: equal keys always meet in one shard; a null key is a key of
-its own; a null text has no bytes. Repeated rows keep a slot each. An empty
-table gives no rows. Extra columns are carried.
+its own; a null text has no bytes, a text of any length is one row. A key has the same
+shard as a number of any width and as its text. Repeated rows keep a slot each. An
+empty table gives no rows. Extra columns are carried.
 """
 
 from __future__ import annotations
@@ -39,13 +40,13 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard_of(key: Column, shards: int) -> Column:
-    """The shard of a key column; the column's hash is what jumps."""
+    """The shard of a key column; the hash of the key as text is what jumps, whatever its type."""
 
     @F.pandas_udf("int")
     def jumped(hashed: pd.Series) -> pd.Series:
         return pd.Series(jump(hashed.to_numpy(np.int64).view(np.uint64), shards).astype(np.int32))
 
-    return jumped(F.xxhash64(key))
+    return jumped(F.xxhash64(key.cast("string")))
 
 
 def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> DataFrame:
