@@ -311,6 +311,26 @@ def numeric_summary_fine(t: Tables):
     return quality.numeric_summary(t.clean.order().select(F.expr(_FINE).alias("fine")), ["fine"])
 
 
+_TINY = "CAST(l_discount AS DOUBLE) / 3e6 + l_orderkey * 1e-9"
+
+
+@query(
+    "numeric_summary_double",
+    "column_name:s row_count:i min:d max:d p25:d p50:d p75:d p90:d p99:d",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS column_name, count(v) AS row_count, min(v) AS min, max(v) AS max,
+    quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.9) AS p90, quantile_cont(v, 0.99) AS p99
+    FROM (SELECT {v} AS v FROM lineitem)"""
+        for name, v in {"tiny": f"round(({_TINY}) * 1e7)", "huge": "l_extendedprice * 1e20"}.items()
+    ),
+)
+def numeric_summary_double(t: Tables):
+    """Floating-point columns, of small whole numbers and of numbers beyond every decimal."""
+    tiny = F.round((F.col("l_discount") / 3e6 + F.col("l_orderkey") * 1e-9) * 1e7)
+    rows = t.clean.raw("lineitem").select(tiny.alias("tiny"), (F.col("l_extendedprice") * 1e20).alias("huge"))
+    return quality.numeric_summary(rows, ["tiny", "huge"])
+
+
 def _gate_sql() -> str:
     keys = {"order": "order_id", "detail": "order_detail_id", "customer": "customer_id", "product": "product_id"}
     parts = []
@@ -410,21 +430,32 @@ def integrity_suite(t: Tables):
 
 @query(
     "anomaly_manifest",
-    "dataset:s row_id:s rule_code:s field:s value:s occurrences:i",
-    """WITH times AS (SELECT order_id, min(order_time) AS t FROM f_order GROUP BY order_id)
-    SELECT 'order_detail' AS dataset, order_detail_id AS row_id, 'QUANTITY_RANGE' AS rule_code, 'quantity' AS field, CAST(quantity AS VARCHAR) AS value, 1 AS occurrences FROM f_detail WHERE quantity NOT BETWEEN 1 AND 50
-    UNION ALL SELECT 'order_detail', order_detail_id, 'DETAIL_AMOUNT_FORMULA', 'actual_amount', CAST(actual_amount AS VARCHAR), 1 FROM f_detail WHERE abs(actual_amount - (gross_amount - discount_amount)) > 0.01
-    UNION ALL SELECT 'order_detail', order_detail_id, 'PRODUCT_FK', 'product_id', product_id, 1 FROM f_detail WHERE product_id NOT IN (SELECT product_id FROM f_product)
-    UNION ALL SELECT 'order_detail', order_detail_id, 'DETAIL_TIME', 'created_at', strftime(created_at, '%Y-%m-%d %H:%M:%S'), 1 FROM f_detail JOIN times USING (order_id) WHERE created_at < t
+    "dataset:s row_id:s rule_code:s field:s value:s description:s occurrences:i",
+    """WITH times AS (SELECT order_id, min(order_time) AS t FROM f_order GROUP BY order_id),
+    notes(rule_code, dataset, description) AS (VALUES ('QUANTITY_RANGE', 'order_detail', '商品数量超出1至5'),
+      ('DETAIL_AMOUNT_FORMULA', 'order_detail', '明细金额不等于数量乘单价减优惠'), ('PRODUCT_FK', 'order_detail', '商品主数据不存在'),
+      ('DETAIL_TIME', 'order_detail', '明细时间早于订单时间'), ('CUSTOMER_FK', 'order', '客户主数据不存在'),
+      ('ORDER_AMOUNT_FORMULA', 'order', '应付金额公式异常'), ('ORDER_STATUS_ENUM', 'order', '订单状态不在标准枚举中'),
+      ('CUSTOMER_NAME_NULL', 'customer', '客户名称为空'), ('CATEGORY_NULL', 'product', '商品分类为空'),
+      ('DUPLICATE_ROW', 'order', '订单整行重复'), ('DUPLICATE_ROW', 'order_detail', '订单明细整行重复')),
+    doubled AS (SELECT * FROM f_detail UNION ALL SELECT * FROM f_detail WHERE CAST(order_id AS BIGINT) % 211 = 0),
+    found AS (SELECT 'order_detail' AS dataset, order_detail_id AS row_id, 'QUANTITY_RANGE' AS rule_code, 'quantity' AS field, CAST(quantity AS VARCHAR) AS value, 1 AS occurrences FROM doubled WHERE quantity NOT BETWEEN 1 AND 50
+    UNION ALL SELECT 'order_detail', order_detail_id, 'DETAIL_AMOUNT_FORMULA', 'actual_amount', CAST(actual_amount AS VARCHAR), 1 FROM doubled WHERE abs(actual_amount - (gross_amount - discount_amount)) > 0.01
+    UNION ALL SELECT 'order_detail', order_detail_id, 'PRODUCT_FK', 'product_id', product_id, 1 FROM doubled WHERE product_id NOT IN (SELECT product_id FROM f_product)
+    UNION ALL SELECT 'order_detail', order_detail_id, 'DETAIL_TIME', 'created_at', strftime(created_at, '%Y-%m-%d %H:%M:%S'), 1 FROM doubled JOIN times USING (order_id) WHERE created_at < t
     UNION ALL SELECT 'order', order_id, 'CUSTOMER_FK', 'customer_id', customer_id, 1 FROM f_order WHERE customer_id NOT IN (SELECT customer_id FROM f_customer)
     UNION ALL SELECT 'order', order_id, 'ORDER_AMOUNT_FORMULA', 'payable_amount', CAST(payable_amount AS VARCHAR), 1 FROM f_order WHERE abs(payable_amount - (order_amount - coupon_amount + freight_amount)) > 0.01
     UNION ALL SELECT 'order', order_id, 'ORDER_STATUS_ENUM', 'order_status', order_status, 1 FROM f_order WHERE order_status NOT IN ('F', 'O', 'P')
     UNION ALL SELECT 'customer', customer_id, 'CUSTOMER_NAME_NULL', 'customer_name', NULL, 1 FROM f_customer WHERE customer_name IS NULL
     UNION ALL SELECT 'product', product_id, 'CATEGORY_NULL', 'category_name', NULL, 1 FROM f_product WHERE category_name IS NULL
-    UNION ALL SELECT 'order', order_id, 'DUPLICATE_ROW', 'all', 'duplicate', count(*) - 1 FROM f_order GROUP BY order_id HAVING count(*) > 1""",
+    UNION ALL SELECT 'order', order_id, 'DUPLICATE_ROW', 'all', 'duplicate', count(*) - 1 FROM f_order GROUP BY order_id HAVING count(*) > 1
+    UNION ALL SELECT 'order_detail', order_detail_id, 'DUPLICATE_ROW', 'all', 'duplicate', count(*) - 1 FROM doubled GROUP BY order_detail_id HAVING count(*) > 1)
+    SELECT * FROM found JOIN notes USING (dataset, rule_code)""",
 )
 def anomaly_manifest(t: Tables):
     f = t.faulty
+    detail = f.detail()
+    doubled = detail.unionByName(detail.where(F.col("order_id").cast("bigint") % 211 == 0))
     return quality.anomaly_manifest(
-        f.order(), f.detail(), f.customer(), f.product(), ALL_STATUSES, _expected(), QUANTITIES
+        f.order(), doubled, f.customer(), f.product(), ALL_STATUSES, _expected(), QUANTITIES
     )

@@ -414,12 +414,8 @@ _SKEW_COLUMNS = ("customer_id", "product_id", "receiver_province_name", "order_c
 )
 def key_skew_audit(t: Tables):
     order = t.clean.order(with_area=True).select("order_id", "customer_id", "receiver_province_name", "order_channel")
-    rows = t.stage(t.clean.detail().select("order_id", "product_id").join(order, "order_id", "left"), "keys")
-    out = None
-    for c in _SKEW_COLUMNS:
-        row = skew.key_skew_audit(rows, c)
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = t.clean.detail().select("order_id", "product_id").join(order, "order_id", "left")
+    return skew.key_skew_audit(rows, list(_SKEW_COLUMNS))
 
 
 @query(
@@ -769,6 +765,24 @@ def dim_product(t: Tables):
     return star.dim_product(doubled)
 
 
+_CONFLICT = """SELECT {key}, 2 AS versions FROM {table} WHERE {name} IS NOT NULL AND CAST({key} AS BIGINT) % 7 = 0"""
+
+
+@query("customer_conflicts", "customer_id:s versions:i", _CONFLICT.format(key="customer_id", table="f_customer", name="customer_name"))
+def customer_conflicts(t: Tables):
+    """Copies of some customers have lost their name."""
+    customer = t.faulty.customer()
+    nameless = customer.where(F.col("customer_id").cast("bigint") % 7 == 0).withColumn("customer_name", F.lit(None).cast("string"))
+    return star.customer_conflicts(customer.unionByName(customer).unionByName(nameless))
+
+
+@query("product_conflicts", "product_id:s versions:i", _CONFLICT.format(key="product_id", table="f_product", name="category_name"))
+def product_conflicts(t: Tables):
+    product = t.faulty.product()
+    lost = product.where(F.col("product_id").cast("bigint") % 7 == 0).withColumn("category_name", F.lit(None).cast("string"))
+    return star.product_conflicts(product.unionByName(product).unionByName(lost))
+
+
 @query(
     "dim_date",
     "date:y year:i quarter:s month:i year_month:s day:i week_of_year:i weekday_number:i weekday_name:s is_weekend:b",
@@ -785,17 +799,21 @@ def dim_date(t: Tables):
 @query(
     "star_integrity",
     "check_name:s errors:i",
-    """SELECT 'customer_key_repeated' AS check_name, 0 AS errors UNION ALL SELECT 'product_key_repeated', 0 UNION ALL SELECT 'date_key_repeated', 0
+    """SELECT 'customer_key_repeated' AS check_name, count(*) FILTER (WHERE CAST(customer_id AS BIGINT) % 11 = 0) AS errors FROM f_customer
+    UNION ALL SELECT 'product_key_repeated', count(*) FILTER (WHERE CAST(product_id AS BIGINT) % 13 = 0) FROM f_product
+    UNION ALL SELECT 'date_key_repeated', count(*) - count(DISTINCT d) FROM (SELECT CAST(order_time AS DATE) AS d FROM m_order GROUP BY 1)
     UNION ALL SELECT 'order_without_customer', count(*) FROM (SELECT DISTINCT order_id, customer_id FROM f_order) WHERE customer_id NOT IN (SELECT customer_id FROM f_customer)
     UNION ALL SELECT 'detail_without_product', count(*) FROM f_detail WHERE product_id NOT IN (SELECT product_id FROM f_product)
-    UNION ALL SELECT 'order_without_date', 0""",
+    UNION ALL SELECT 'order_without_date', count(*) FROM (SELECT DISTINCT order_id, order_time FROM f_order) WHERE day(order_time) = 31""",
 )
 def star_integrity(t: Tables):
+    """Typed tables with some members twice, and a calendar without the 31st."""
     f = t.faulty
     orders = f.order().dropDuplicates().withColumn("order_date", F.to_date("order_time"))
-    return star.star_integrity(
-        orders, f.detail(), star.dim_customer(f.customer()), star.dim_product(f.product()), star.dim_date(orders)
-    )
+    customer, product = f.customer(), f.product()
+    customers = customer.unionByName(customer.where(F.col("customer_id").cast("bigint") % 11 == 0))
+    products = product.unionByName(product.where(F.col("product_id").cast("bigint") % 13 == 0))
+    return star.star_integrity(orders, f.detail(), customers, products, star.dim_date(orders).where("day < 31"))
 
 
 # ---- reconciliation ------------------------------------------------------

@@ -7,10 +7,12 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martloom.functions import fixed
-from martloom.functions.columns import any_of, count_if, half_up, is_blank, meets, to_rows
-from martloom.operators.rank import value_positions
+from martloom.functions.columns import any_of, beside, count_if, half_up, is_blank, meets, to_rows
+from martloom.operators.rank import global_rank
+from martloom.session import stage
 
 
 # ---- profiles ------------------------------------------------------------
@@ -32,59 +34,85 @@ def value_distribution(df: DataFrame, column: str) -> DataFrame:
 
 
 PERCENTS = (25, 50, 75, 90, 99)
-FLOAT_DIGITS = 6  # decimals to which floating-point columns are summarised
-
-
-def _digits(kind: str) -> int:
-    """Decimals that a summary of a column of this type keeps: its own, at least those of money."""
-    if kind.startswith("decimal"):
-        return max(2, int(kind.rstrip(")").split(",")[1]))
-    return FLOAT_DIGITS if kind in ("double", "float") else 2
 
 
 def numeric_summary(df: DataFrame, columns) -> DataFrame:
-    """Per column: count, mean, min, max and exact interpolated percentiles.
-
-    Percentiles come from the ordered table of distinct values with running
-    counts, so no task ever holds a whole column. Values keep the scale of their
-    column, percentiles have two decimals more.
+    """Per column: count, mean, min, max and exact interpolated percentiles, all columns from one ranking.
+
+    Distinct values of all columns, each in its column's own type and with its
+    count, are ordered together once; running counts tell where a percentile
+    lies, so no task ever holds a whole column. Numbers with decimals keep those
+    of their column (two at least), percentiles have two more; with a
+    floating-point column among them all results are doubles. A column without
+    values has count 0. NULLs do not count.
     """
-    out = None
-    kinds = dict(df.dtypes)
-    for c in columns:
-        digits = _digits(kinds[c])
-        positions = value_positions(df.filter(F.col(c).isNotNull()).select(c), c)
-        n = positions.agg(F.sum("same")).scalar()
-        value = F.col(c).cast(f"decimal(28,{digits})")
-        place = {p: (F.col("n") - 1) * p for p in PERCENTS}
-
-        def at(index: Column) -> Column:
-            hit = (F.col("below") <= index) & (index < F.col("below") + F.col("same"))
-            return F.max(F.when(hit, value))
-
-        picked = positions.withColumn("n", n).agg(
-            F.first("n").alias("n"),
-            half_up(F.sum(value * F.col("same")).cast(f"decimal(38,{digits})"), F.first("n"), digits, digits).alias("mean"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-            *[at(F.call_function("div", place[p], F.lit(100))).alias(f"lo{p}") for p in PERCENTS],
-            *[at(F.call_function("div", place[p] + 99, F.lit(100))).alias(f"hi{p}") for p in PERCENTS],
+    columns = list(columns)
+    kinds = [df.schema[c].dataType for c in columns]
+    floating = [isinstance(k, T.FractionalType) and not isinstance(k, T.DecimalType) for k in kinds]
+    digits = [max(2, k.scale) if isinstance(k, T.DecimalType) else 2 for k in kinds]
+    own = [f"v{i}" for i in range(len(columns))]
+
+    def value(i: int) -> Column:
+        return F.col(columns[i]).cast("double" if floating[i] else f"decimal(38,{digits[i]})")
+
+    def nothing(i: int) -> Column:
+        return F.lit(None).cast("double" if floating[i] else f"decimal(38,{digits[i]})")
+
+    each = [F.struct(F.lit(i).alias("c"), *[(value(i) if j == i else nothing(j)).alias(v) for j, v in enumerate(own)]) for i in range(len(columns))]
+    present = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), e) for c, e in zip(columns, each)]))
+    counts = df.select(F.inline(present)).groupBy("c", *own).agg(F.count(F.lit(1)).alias("same"))
+    placed = global_rank(counts, [F.asc("c"), *[F.asc(v) for v in own]], running={"up_to": "same"})
+    # Rows of each column, and of the columns before it; one row.
+    of = [F.coalesce(F.sum(F.when(F.col("c") == i, F.col("same"))), F.lit(0)).cast("bigint") for i in range(len(columns))]
+    sizes = placed.agg(F.array(*of).alias("n")).scalar()
+    placed = placed.withColumn("n", sizes)
+    before = F.aggregate(F.slice("n", 1, F.col("c")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    placed = placed.withColumns({"n": F.get("n", F.col("c")), "below": F.col("up_to") - F.col("same") - before})
+    place = {p: (F.col("n") - 1) * p for p in PERCENTS}
+
+    def at(i: int, index: Column) -> Column:
+        hit = (F.col("c") == i) & (F.col("below") <= index) & (index < F.col("below") + F.col("same"))
+        return F.max(F.when(hit, F.col(own[i])))
+
+    picks = []
+    for i, v in enumerate(own):
+        if floating[i]:
+            mean = F.sum(F.col(v) * F.col("same")) / F.sum(F.when(F.col("c") == i, F.col("same")))
+        else:
+            total = F.sum(F.col(v) * F.when(F.col("c") == i, F.col("same"))).cast(f"decimal(38,{digits[i]})")
+            mean = half_up(total, F.sum(F.when(F.col("c") == i, F.col("same"))), digits[i], digits[i])
+        picks.append(
+            F.struct(
+                F.lit(columns[i]).alias("column_name"),
+                F.coalesce(F.max(F.when(F.col("c") == i, F.col("n"))), F.lit(0)).alias("n"),
+                mean.alias("mean"),
+                F.min(v).alias("min"),
+                F.max(v).alias("max"),
+                *[at(i, F.call_function("div", place[p], F.lit(100))).alias(f"lo{p}") for p in PERCENTS],
+                *[at(i, F.call_function("div", place[p] + 99, F.lit(100))).alias(f"hi{p}") for p in PERCENTS],
+            ).alias(f"s{i}")
         )
-        row = picked.select(
-            F.lit(c).alias("column_name"),
-            F.col("n").alias("row_count"),
-            "mean",
-            "min",
-            "max",
-            *[
-                (F.col(f"lo{p}") + (F.col(f"hi{p}") - F.col(f"lo{p}")) * (place[p] % 100) * F.lit(Decimal("0.01")))
-                .cast(f"decimal(28,{digits + 2})")
-                .alias(f"p{p}")
-                for p in PERCENTS
-            ],
+    one = placed.agg(*picks)
+    wide = "double" if any(floating) else f"decimal(28,{max(digits, default=2)})"
+    wider = "double" if any(floating) else f"decimal(28,{max(digits, default=2) + 2})"
+
+    def between(i: int, p: int) -> Column:
+        s = F.col(f"s{i}")
+        lo, hi, share = s[f"lo{p}"], s[f"hi{p}"], ((s["n"] - 1) * p) % 100
+        part = share.cast("double") / 100 if floating[i] else share * F.lit(Decimal("0.01"))
+        # In doubles, equal neighbours stay what they are.
+        return (F.when(lo == hi, lo).otherwise(lo * (1 - part) + hi * part) if floating[i] else lo + (hi - lo) * part).cast(wider)
+
+    rows = [
+        F.struct(
+            F.col(f"s{i}.column_name").alias("column_name"),
+            F.col(f"s{i}.n").alias("row_count"),
+            *[F.col(f"s{i}.{name}").cast(wide).alias(name) for name in ("mean", "min", "max")],
+            *[between(i, p).alias(f"p{p}") for p in PERCENTS],
         )
-        out = row if out is None else out.unionByName(row)
-    return out
+        for i in range(len(columns))
+    ]
+    return one.select(F.inline(F.array(*rows)))
 
 
 # ---- row rules -----------------------------------------------------------
@@ -388,20 +416,18 @@ def detail_time_order(detail: DataFrame, order: DataFrame) -> DataFrame:
 
 def header_detail_reconcile(wide: DataFrame, tolerance: str = fixed.MONEY_TOLERANCE) -> DataFrame:
     """Per order: header amounts, detail sum, formula, differences, match flags."""
-    header = F.min(F.struct("order_amount", "coupon_amount", "freight_amount", "payable_amount"))
+    columns = ("order_amount", "coupon_amount", "freight_amount", "payable_amount")
     limit = F.lit(Decimal(tolerance))
     zero = F.lit(Decimal("0.00"))
+    # The details of an order repeat its amounts; fixed-width minima are a hash aggregate.
     grouped = wide.groupBy("order_id").agg(
-        header.alias("h"),
+        *[F.min(c).alias(c) for c in columns],
         F.coalesce(F.sum("actual_amount"), zero).alias("detail_amount"),
         F.count(F.lit(1)).alias("detail_count"),
     )
     filled = grouped.select(
         "order_id",
-        *[
-            F.coalesce(F.col(f"h.{c}"), zero).alias(c)
-            for c in ("order_amount", "coupon_amount", "freight_amount", "payable_amount")
-        ],
+        *[F.coalesce(F.col(c), zero).alias(c) for c in columns],
         "detail_amount",
         "detail_count",
     )
@@ -446,58 +472,74 @@ def integrity_suite(
     expected: Column | None = None,
     quantity_range=fixed.QUANTITY_RANGE,
 ) -> DataFrame:
-    """All clean-data rules: keys, relations, quantity, amounts, time order."""
+    """All clean-data rules: keys, relations, quantity, amounts, time order.
 
-    def keys(df: DataFrame, key: str, name: str) -> DataFrame:
-        counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        errors = F.sum(F.when(F.col(key).isNull(), F.col("n")).otherwise(F.col("n") - 1))
-        return counted.agg(F.coalesce(errors, F.lit(0)).alias("errors")).select(F.lit(name).alias("rule"), "errors")
+    One pass over the four tables lists every key with its domain, as a parent
+    (the table's own key) or as a child (a reference to it), and with the row's
+    faults; grouped by domain and key it holds the key, relation and row rules
+    together. A second pass over the details meets their orders' times and leaves
+    one written row per order, from which time and amount rules are read.
+    """
+    nothing, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    flags = ("quantity", "formula", "payable")
 
-    def rows(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-        one = df.agg(*[count_if(c).alias(n) for n, c in checks.items()])
-        return to_rows(one, {n: F.col(n) for n in checks}, "rule", "errors")
+    def keys(df: DataFrame, own: tuple[str, str], references: tuple[str, ...] = (), **faults: Column) -> DataFrame:
+        found = {f: F.when(faults[f], one).otherwise(nothing) if f in faults else nothing for f in flags}
 
-    def orphan(child, parent, key, name) -> DataFrame:
-        return orphan_count(child, parent, key, name).select(
-            F.col("relation").alias("rule"), F.col("orphan_rows").alias("errors")
-        )
+        def entry(domain: str, key: str, parent: Column, child: Column, at: dict[str, Column]) -> Column:
+            return F.struct(
+                F.lit(domain).alias("domain"), F.col(key).cast("string").alias("key"), parent.alias("parent"), child.alias("child"),
+                *[at[f].alias(f) for f in flags],
+            )
+
+        entries = [entry(*own, one, nothing, found)]
+        entries += [entry(r, f"{r}_id", nothing, one, dict.fromkeys(flags, nothing)) for r in references]
+        return df.select(F.inline(F.array(*entries)))
 
-    money_limit = F.lit(Decimal(fixed.MONEY_TOLERANCE))
-    # Sums and earliest times per order meet once; every order-level rule reads that.
-    sums = detail.groupBy(F.col("order_id").alias("s_order_id")).agg(F.sum("actual_amount").alias("detail_amount"))
-    header = order.join(sums, F.col("order_id") == F.col("s_order_id"), "left")
-    amount_off = ~F.coalesce(
-        F.abs(F.col("order_amount") - F.col("detail_amount")) <= money_limit, F.lit(False)
+    listed = (
+        keys(detail, ("order_detail", "order_detail_id"), ("order", "product"),
+             quantity=outside_range("quantity", *quantity_range), formula=detail_mismatch(expected))
+        .union(keys(order, ("order", "order_id"), ("customer",), payable=payable_mismatch(fixed.MONEY_TOLERANCE)))
+        .union(keys(customer, ("customer", "customer_id")))
+        .union(keys(product, ("product", "product_id")))
     )
-    timed = detail.join(order_times(order), meets("order_id", "t_order_id"), "left")
-    parts = [
-        keys(order, "order_id", "order_key"),
-        keys(detail, "order_detail_id", "order_detail_key"),
-        keys(customer, "customer_id", "customer_key"),
-        keys(product, "product_id", "product_key"),
-        orphan(order, customer, "customer_id", "order_customer"),
-        orphan(detail, product, "product_id", "detail_product"),
-        rows(
-            timed,
-            {
-                "detail_order": F.col("t_order_id").isNull(),
-                "quantity_range": outside_range("quantity", *quantity_range),
-                "actual_amount_formula": detail_mismatch(expected),
-                "detail_time": F.col("created_at") < F.col("order_time"),
-            },
-        ),
-        rows(
-            header,
-            {
-                "order_amount_sum": amount_off,
-                "payable_formula": payable_mismatch(fixed.MONEY_TOLERANCE),
-            },
+    per_key = listed.groupBy("domain", "key").agg(*[F.sum(c).alias(c) for c in ("parent", "child", *flags)])
+
+    def total(domain: str | None, errors: Column) -> Column:
+        at = errors if domain is None else F.when(F.col("domain") == domain, errors)
+        return F.coalesce(F.sum(at), nothing)
+
+    repeated = F.when(F.col("key").isNull(), F.col("parent")).otherwise(F.greatest(F.col("parent") - 1, nothing))
+    lost = F.when(F.col("key").isNull() | (F.col("parent") == 0), F.col("child")).otherwise(nothing)
+    rules = {
+        "order_key": total("order", repeated),
+        "order_detail_key": total("order_detail", repeated),
+        "customer_key": total("customer", repeated),
+        "product_key": total("product", repeated),
+        "order_customer": total("customer", lost),
+        "detail_product": total("product", lost),
+        "detail_order": total("order", lost),
+        "quantity_range": total(None, F.col("quantity")),
+        "actual_amount_formula": total(None, F.col("formula")),
+        "payable_formula": total(None, F.col("payable")),
+    }
+    by_key = per_key.agg(*[c.alias(n) for n, c in rules.items()])
+
+    timed = detail.select("order_id", "actual_amount", "created_at").join(order_times(order), meets("order_id", "t_order_id"), "left")
+    per_order = stage(
+        timed.groupBy(F.col("order_id").alias("s_order_id")).agg(
+            F.sum("actual_amount").alias("detail_amount"), count_if(F.col("created_at") < F.col("order_time")).alias("late")
         ),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        "order-sums",
+    )
+    header = order.select("order_id", "order_amount").join(per_order, meets("order_id", "s_order_id"), "left")
+    close = F.abs(F.col("order_amount") - F.col("detail_amount")) <= F.lit(Decimal(fixed.MONEY_TOLERANCE))
+    by_order = beside(
+        header.agg(count_if(~F.coalesce(close, F.lit(False))).alias("order_amount_sum")),
+        per_order.agg(F.coalesce(F.sum("late"), nothing).alias("detail_time")),
+    )
+    parts = [to_rows(df, {n: F.col(n) for n in df.columns}, "rule", "errors") for df in (by_key, by_order)]
+    return parts[0].unionByName(parts[1])
 
 
 # ---- fixed values: the ten documented faults -----------------------------
@@ -511,7 +553,7 @@ FAULT_NOTES = {
     "ORDER_STATUS_ENUM": "订单状态不在标准枚举中",
     "CUSTOMER_NAME_NULL": "客户名称为空",
     "CATEGORY_NULL": "商品分类为空",
-    "DUPLICATE_ROW": "整行重复",
+    "DUPLICATE_ROW": {"order": "订单整行重复", "order_detail": "订单明细整行重复"},
 }
 
 
@@ -552,10 +594,11 @@ def anomaly_manifest(
         ).withColumn("occurrences", F.lit(1).cast("bigint"))
 
     def copies(df: DataFrame, dataset: str, key: str) -> DataFrame:
-        # Copies share their key: whole rows are compared only where a key repeats.
+        # Copies share their key and 128 bits of their whole rows' hash; only those are grouped, in one pass.
+        whole = [F.xxhash64(F.lit(seed), *[F.struct(F.col(c).isNull(), F.col(c)) for c in df.columns]).alias(f"__h{seed}") for seed in (1, 2)]
         return (
-            rule_duplicate(df, [key])
-            .groupBy(*df.columns)
+            df.select(key, *whole)
+            .groupBy(key, "__h1", "__h2")
             .agg(F.count(F.lit(1)).alias("__n"))
             .filter(F.col("__n") > 1)
             .select(
@@ -564,7 +607,7 @@ def anomaly_manifest(
                 F.lit("DUPLICATE_ROW").alias("rule_code"),
                 F.lit("all").alias("field"),
                 F.lit("duplicate").alias("value"),
-                F.lit(FAULT_NOTES["DUPLICATE_ROW"]).alias("description"),
+                F.lit(FAULT_NOTES["DUPLICATE_ROW"][dataset]).alias("description"),
                 (F.col("__n") - 1).alias("occurrences"),
             )
         )

@@ -17,7 +17,7 @@ def test_edges_of_a_hub_are_split(spark, monkeypatch):
     def spied(df, name):
         df.collect()
         plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return stage(df, name)
+        return stage(df.repartition(6), name)  # a partition is split between the tasks that wrote it
 
     monkeypatch.setattr(common, "stage", spied)
     small = {

@@ -190,6 +190,30 @@ def test_numeric_summary_small(spark):
     assert (r.row_count, r.mean, r.p25, r.p50, r.p75) == (4, D("2.75"), D("1.7500"), D("3.0000"), D("4.0000"))
 
 
+def test_numeric_summary_keeps_small_and_large_doubles(spark):
+    df = spark.createDataFrame([(1e-7, 1e24, 1), (3e-7, 1e24, None), (5e-7, -1e300, None), (None, None, None)], "t double, h double, i int")
+    t, h, i = quality.numeric_summary(df, ["t", "h", "i"]).collect()
+    assert (t.row_count, t.p50, t.min, t.max) == (3, 3e-7, 1e-7, 5e-7)
+    assert (h.min, h.p50, h.max) == (-1e300, 1e24, 1e24) and (i.row_count, i.mean, i.p99) == (1, 1.0, 1.0)
+    nothing = quality.numeric_summary(df.where("false"), ["t", "i"]).collect()
+    assert [(r.column_name, r.row_count, r.mean, r.p50) for r in nothing] == [("t", 0, None, None), ("i", 0, None, None)]
+
+
+def test_numeric_summary_ranks_all_columns_in_one_shuffle(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "n")
+    spark.range(100).select("id", (F.col("id") % 7).alias("a"), (F.col("id") * 0.5).alias("b")).write.parquet(path)
+    plans = []
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(rank, "stage", spied)
+    quality.numeric_summary(spark.read.parquet(path), ["id", "a", "b"])
+    initial = plans[0].split("Initial Plan")[-1]
+    assert len(plans) == 1 and initial.count("FileScan") == 1 and initial.count("rangepartitioning") == 1
+
+
 def test_reconcile_flags(spark):
     df = spark.createDataFrame([order_row("o1")], ORDER).withColumn("actual_amount", F.lit(D("19.50")))
     r = quality.header_detail_reconcile(df).first()

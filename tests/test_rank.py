@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from martloom.operators import abc, rank, rfm
+from martloom.session import stage
 
 
 def rows(df):
@@ -62,11 +63,52 @@ def test_tile_scores_equal_sql_ntile(spark, n):
     assert rows(got) == rows(want)
 
 
-def test_dense_ranks(spark):
-    df = skewed(spark, 300)
-    got = rank.dense_ranks(df, "v", "dr")
-    want = df.select("id", "v", F.dense_rank().over(Window.orderBy(F.desc("v"))).alias("dr"))
-    assert rows(got.select("id", "v", "dr")) == rows(want)
+@pytest.mark.parametrize("partitions,n", [("1", 300), ("3", 300), ("8", 2000), ("8", 3), ("8", 0)])
+def test_dense_ranks(spark, partitions, n):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = skewed(spark, n)
+        got = rank.dense_ranks(df, "v", "dr", "id")
+        want = df.select("id", "v", F.dense_rank().over(Window.orderBy(F.desc("v"))).alias("dr"))
+        assert rows(got.select("id", "v", "dr")) == rows(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_running_sums_are_exact_and_large(spark):
+    df = spark.range(500).select("id", (F.lit("123456789012345678901.23").cast("decimal(24,2)") * (F.col("id") - 250)).cast("decimal(30,2)").alias("v"))
+    got = rank.global_rank(df, [F.asc("id")], running={"run": "v", "ids": "id"}, grand={"all": "run"})
+    w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("id", F.sum("v").over(w).alias("run"), F.sum("id").over(w).alias("ids"), F.sum("v").over(Window.partitionBy()).alias("all"))
+    assert rows(got.select("id", "run", "ids", "all")) == rows(want)
+    assert got.schema["run"].dataType == want.schema["run"].dataType and got.schema["ids"].dataType == want.schema["ids"].dataType
+    with pytest.raises(TypeError):
+        rank.global_rank(df.withColumn("d", F.lit(1.5)), [F.asc("id")], running={"x": "d"})
+
+
+def shuffles(spark, tmp_path, monkeypatch, run):
+    """Exchanges of rows (not of totals by range) in all plans written and in the result's."""
+    plans = []
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(rank, "stage", spied)
+    plans.append(run()._jdf.queryExecution().executedPlan().toString())
+    return [line for p in plans for line in p.split("\n") if "Exchange range" in line or "Exchange hash" in line or "SortMergeJoin" in line or "BroadcastHashJoin" in line]
+
+
+def test_running_sums_and_dense_ranks_take_one_shuffle(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    spark.range(300).select("id", (F.col("id") % 7).cast("decimal(18,2)").alias("v")).write.parquet(path)
+    df = spark.read.parquet(path)
+    for run in (lambda: rank.global_rank(df, [F.desc("v"), "id"], running={"r": "v"}), lambda: rank.dense_ranks(df, "v", "d", "id")):
+        found = shuffles(spark, tmp_path, monkeypatch, run)
+        assert sum("rangepartitioning" in line for line in found) == 1
+        # What else moves is one row per range.
+        assert all("__part" in line or "__range" in line for line in found if "rangepartitioning" not in line)
 
 
 def base_frame(spark, values):
