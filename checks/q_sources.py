@@ -40,11 +40,27 @@ def csv_strict_scan(t: Tables):
 
 @query(
     "table_profile",
-    "row_count:i columns:i ok:b",
-    "SELECT count(*) AS row_count, 9 AS columns, count(*) = (SELECT count(*) FROM lineitem) AS ok FROM m_detail",
+    "row_count:i columns:i schema:s ok:b",
+    """SELECT count(*) AS row_count, (SELECT count(*) FROM (DESCRIBE orders)) AS columns,
+    (SELECT string_agg(column_name || ' ' || CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+      WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END, ', ') FROM (DESCRIBE orders)) AS schema,
+    count(*) = (SELECT 10 * count(*) FROM customer) AS ok FROM orders""",
 )
 def table_profile(t: Tables):
-    return tables.table_profile(t.clean.detail(), t.clean.raw("lineitem").count())
+    """Ten orders are expected for each customer."""
+    return tables.table_profile(t.clean.raw("orders"), 10 * t.clean.raw("customer").count())
+
+
+@query(
+    "table_preview",
+    "row_key:s status:s total:d",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS row_key, o_orderstatus AS status, o_totalprice AS total FROM orders ORDER BY o_orderkey LIMIT 5",
+)
+def table_preview(t: Tables):
+    row = F.col("row")
+    return tables.table_preview(t.clean.raw("orders"), "o_orderkey").select(
+        "row_key", F.get_json_object(row, "$.o_orderstatus").alias("status"), F.get_json_object(row, "$.o_totalprice").alias("total")
+    )
 
 
 @query(
@@ -186,27 +202,34 @@ def upsert_months(t: Tables):
 
 @query(
     "file_layout_audit",
-    "table_name:s files:i row_count:i small_files:b",
-    """SELECT 'orders' AS table_name, 1 AS files, count(*) AS row_count, false AS small_files FROM orders
-    UNION ALL SELECT 'lineitem', 1, count(*), false FROM lineitem
-    UNION ALL SELECT 'customer', 1, count(*), false FROM customer
-    UNION ALL SELECT 'part', 1, count(*), false FROM part""",
+    "table_name:s present:b files:i partitions:i row_count:i largest_file_rows:i small_files:b broadcastable:b",
+    """SELECT 'many' AS table_name, true AS present, 12 AS files, 1 AS partitions, count(*) AS row_count, CAST(ceil(count(*) / 12) AS BIGINT) AS largest_file_rows,
+      true AS small_files, true AS broadcastable FROM customer
+    UNION ALL SELECT 'by_segment', true, count(*), count(*), sum(n), max(n), count(*) >= 10, true FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)
+    UNION ALL SELECT 'one', true, 1, 1, count(*), count(*), false, true FROM nation
+    UNION ALL SELECT 'missing', false, 0, 0, 0, 0, false, false""",
 )
 def file_layout_audit(t: Tables):
-    names = ("orders", "lineitem", "customer", "part")
-    return layout.file_layout_audit(t.spark, {n: f"{t.folder}/{n}.parquet" for n in names})
+    """Tables written here with known files."""
+    customer, paths = t.clean.raw("customer"), {n: t.scratch(n) for n in ("many", "by_segment", "one", "missing")}
+    customer.repartition(1).repartition(12).write.parquet(paths["many"])
+    customer.repartition(1).write.partitionBy("c_mktsegment").parquet(paths["by_segment"])
+    t.clean.raw("nation").coalesce(1).write.parquet(paths["one"])
+    return layout.file_layout_audit(t.spark, paths)
 
 
 @query(
     "small_file_compaction",
-    "mode:s rows_before:i rows_after:i",
-    """SELECT 'repartition' AS mode, count(*) AS rows_before, count(*) AS rows_after FROM lineitem
-    UNION ALL SELECT 'coalesce', count(*), count(*) FROM lineitem""",
+    "mode:s files:i rows_before:i rows_after:i",
+    """SELECT 'repartition' AS mode, 3 AS files, count(*) AS rows_before, count(*) AS rows_after FROM lineitem
+    UNION ALL SELECT 'coalesce', 1, count(*), count(*) FROM lineitem""",
 )
 def small_file_compaction(t: Tables):
+    """To files of a third of the bytes, and of those to one."""
     source, spread, merged = f"{t.folder}/lineitem.parquet", t.scratch("spread"), t.scratch("merged")
-    first = layout.small_file_compaction(t.spark, source, spread, "repartition", 1 << 20)
-    return first.unionByName(layout.small_file_compaction(t.spark, spread, merged, "coalesce", 4 << 20))
+    size = layout.table_files(t.spark, source).agg(F.sum("length").alias("bytes")).first().bytes
+    first = layout.small_file_compaction(t.spark, source, spread, "repartition", -(-size // 3))
+    return first.unionByName(layout.small_file_compaction(t.spark, spread, merged, "coalesce", 1 << 40))
 
 
 _VIEW_SQL = """SELECT order_channel, count(*) AS order_count, sum(payable_amount) AS sales_amount

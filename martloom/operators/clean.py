@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from martloom.functions.columns import MONEY, TRY_CASTS, count_if, to_rows
+from martloom.session import stage
+from martloom.sources.sinks import observed_values
 
 # ---- fixed values: columns the lenient cleaner looks for ------------------
 MONEY_COLUMNS = (
@@ -26,20 +28,30 @@ def uncastable_counts(raw: DataFrame, declared: dict[str, str]) -> DataFrame:
 
     One aggregate over the table; ``bad`` above zero fails an ingest.
     """
-    typed = {c: k for c, k in declared.items() if k != "string"}
-    counts = raw.agg(
-        *[
-            count_if((F.trim(c) != "") & TRY_CASTS[kind](F.col(c)).isNull()).alias(c)
-            for c, kind in typed.items()
-        ]
-    )
-    return to_rows(counts, {c: F.col(c) for c in typed}, "column_name", "bad")
+    found = uncastable(declared)
+    counts = raw.agg(*[n.alias(c) for c, n in found.items()])
+    return to_rows(counts, {c: F.col(c) for c in found}, "column_name", "bad")
+
+
+def uncastable(declared: dict[str, str]) -> dict[str, Column]:
+    """Per typed column an aggregate: values that are not blank and do not convert."""
+    return {c: count_if((F.trim(c) != "") & TRY_CASTS[kind](F.col(c)).isNull()) for c, kind in declared.items() if kind != "string"}
 
 
-def require_castable(raw: DataFrame, declared: dict[str, str]) -> None:
-    bad = uncastable_counts(raw, declared).filter(F.col("bad") > 0).collect()  # one row per column
+def ingested(raw: DataFrame, declared: dict[str, str], name: str) -> DataFrame:
+    """The typed table, staged; the text is parsed once.
+
+    Values that do not convert are counted while the typed rows are written.
+    Any such value stops the ingest, with the number per column.
+    """
+    seen = Observation()
+    counted = raw.observe(seen, F.count(F.lit(1)).alias("__rows"), *[n.alias(c) for c, n in uncastable(declared).items()])
+    typed = stage(ods_typed(counted, declared), name)
+    found = observed_values(seen)
+    bad = {c: n for c, n in found.items() if n and c != "__rows"}
     if bad:
-        raise ValueError("values do not convert: " + ", ".join(f"{r.column_name}={r.bad}" for r in bad))
+        raise ValueError("values do not convert: " + ", ".join(f"{c}={n}" for c, n in bad.items()))
+    return typed
 
 
 def ods_typed(raw: DataFrame, declared: dict[str, str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from martloom.functions.columns import with_etl_columns
 from martloom.operators import abc, gates, quality, reconcile, rfm, sales, star, wide
+from martloom.plans import layer_checks
 from martloom.plans.store import LayerStore
 from martloom.session import job_session, scratch_scope
 
@@ -53,34 +54,56 @@ def gated(t: dict[str, DataFrame], store: LayerStore, allowed: tuple[str, ...])
     gates.require_gates(found, allowed)
 
 
-def detail_warehouse(source, store: LayerStore, allowed: tuple[str, ...] = ALLOWED) -> dict[str, DataFrame]:
-    """ODS, wide table, subject tables, metrics, segments, classes, star."""
+def detail_warehouse(
+    source, store: LayerStore, allowed: tuple[str, ...] = ALLOWED, strict_amounts: bool = False
+) -> dict[str, DataFrame]:
+    """ODS, wide table, subject tables, metrics, segments, classes, star. Each table is checked where it is written."""
     t = typed_layer(source, store)
     gated(t, store, allowed)
     customer, product = t["ods_customer"], t["ods_product"]
+    def wide_check(found: DataFrame) -> DataFrame:
+        rows = layer_checks.same_rows(t["ods_order_detail"], found, "dwd_order_detail")
+        return rows.unionByName(layer_checks.amounts(found)) if strict_amounts else rows
+
     d = store.write(
-        "dwd_order_detail", wide.dwd_wide(t["ods_order_detail"], t["ods_order"], customer, product)
+        "dwd_order_detail", wide.dwd_wide(t["ods_order_detail"], t["ods_order"], customer, product), wide_check
     )
     t["dwd_order_detail"] = d
-    gates.require_same_rows(t["ods_order_detail"], d, "dwd_order_detail")
     valid = sales.valid_sales(d, source.statuses)
     # Order grain feeds three tables, so it is a table of its own.
-    grain = store.write("dwd_valid_order", sales.order_grain(valid, GRAIN))
-    gates.require_unique_key(grain, "order_id", "dwd_valid_order")
-    t["dws_user_sales"] = store.write("dws_user_sales", with_etl_columns(sales.user_sales(grain, customer)))
-    t["dws_product_sales"] = store.write("dws_product_sales", with_etl_columns(sales.product_sales(valid, product)))
-    t["dws_area_sales"] = store.write_small("dws_area_sales", with_etl_columns(sales.area_sales(grain)))
-    t["ads_sales_summary"] = store.write_small("ads_sales_summary", with_etl_columns(sales.daily_sales(grain)))
+    grain = store.write(
+        "dwd_valid_order", sales.order_grain(valid, GRAIN), lambda f: layer_checks.unique_key(f, "order_id", "dwd_valid_order")
+    )
+    t["dws_user_sales"] = store.write(
+        "dws_user_sales", with_etl_columns(sales.user_sales(grain, customer)), lambda f: reconcile.user_sales_checks(grain, f)
+    )
+    t["dws_product_sales"] = store.write(
+        "dws_product_sales", with_etl_columns(sales.product_sales(valid, product)), lambda f: reconcile.product_sales_checks(valid, f)
+    )
+    t["dws_area_sales"] = store.write_small(
+        "dws_area_sales", with_etl_columns(sales.area_sales(grain)), lambda f: reconcile.area_sales_checks(grain, f)
+    )
+    t["ads_sales_summary"] = store.write_small(
+        "ads_sales_summary", with_etl_columns(sales.daily_sales(grain)), lambda f: reconcile.daily_sales_checks(grain, f)
+    )
     trend = sales.monthly_trend(sales.monthly_base(t["ads_sales_summary"]))
-    t["ads_monthly_sales_trend"] = store.write_small("ads_monthly_sales_trend", with_etl_columns(trend))
-    t["ads_user_rfm_base"] = store.write("ads_user_rfm_base", rfm.rfm_base(t["dws_user_sales"]))
+    t["ads_monthly_sales_trend"] = store.write_small(
+        "ads_monthly_sales_trend", with_etl_columns(trend), lambda f: reconcile.monthly_checks(t["ads_sales_summary"], f)
+    )
+    t["ads_user_rfm_base"] = store.write(
+        "ads_user_rfm_base", rfm.rfm_base(t["dws_user_sales"]), lambda f: layer_checks.rfm_base(t["dws_user_sales"], f)
+    )
     segments = rfm.segments(rfm.scores_by_ntile(t["ads_user_rfm_base"]))
-    t["ads_user_rfm_segment"] = store.write("ads_user_rfm_segment", with_etl_columns(segments))
+    t["ads_user_rfm_segment"] = store.write(
+        "ads_user_rfm_segment", with_etl_columns(segments), lambda f: layer_checks.rfm_segments(t["ads_user_rfm_base"], f)
+    )
     t["ads_user_rfm_segment_summary"] = store.write_small(
         "ads_user_rfm_segment_summary", rfm.segment_summary(t["ads_user_rfm_segment"])
     )
     ranked = abc.product_ranking(t["dws_product_sales"].drop("etl_time", "source_system", "etl_batch"))
-    t["ads_product_abc"] = store.write("ads_product_abc", with_etl_columns(ranked))
+    t["ads_product_abc"] = store.write(
+        "ads_product_abc", with_etl_columns(ranked), lambda f: layer_checks.product_classes(t["dws_product_sales"], f)
+    )
     t["ads_product_abc_summary"] = store.write_small(
         "ads_product_abc_summary", abc.abc_summary(t["ads_product_abc"])
     )
@@ -88,23 +111,37 @@ def detail_warehouse(source, store: LayerStore, allowed: tuple[str, ...] = ALLOW
     return t
 
 
+def quality_rows(bad: DataFrame, name: str) -> DataFrame:
+    """A check that there are no such rows."""
+    return reconcile.checks(bad.agg(F.count(F.lit(1)).alias("n")), [reconcile.compare(name, F.lit(0), F.col("n"))])
+
+
 def star_layer(d, customer, product, statuses, store: LayerStore) -> dict[str, DataFrame]:
     """Facts and dimensions; their keys and partners have passed the gates."""
-    facts = store.write("fact_order", star.fact_order(d, statuses))
-    gates.require_unique_key(facts, "order_id", "fact_order")
+    facts = store.write(
+        "fact_order", star.fact_order(d, statuses), lambda f: layer_checks.unique_key(f, "order_id", "fact_order")
+    )
+
+    def one_version(found: DataFrame) -> DataFrame:
+        return quality_rows(found.where("versions > 1"), "conflicting_members")
+
     return {
         "fact_order": facts,
         "fact_order_detail": store.write("fact_order_detail", star.fact_order_detail(d)),
-        "dim_customer": store.write("dim_customer", star.dim_customer(customer)),
-        "dim_product": store.write("dim_product", star.dim_product(product)),
+        "dim_customer": store.write("dim_customer", star.dim_customer(customer), one_version),
+        "dim_product": store.write("dim_product", star.dim_product(product), one_version),
         "dim_date": store.write_small("dim_date", star.dim_date(facts)),
     }
 
 
 def order_warehouse(
-    source, store: LayerStore, rules: quality.RuleSet | None = None, allowed: tuple[str, ...] = ALLOWED
+    source,
+    store: LayerStore,
+    rules: quality.RuleSet | None = None,
+    allowed: tuple[str, ...] = ALLOWED,
+    strict_amounts: bool = False,
 ) -> dict[str, DataFrame]:
-    """Rule report, order-driven wide table, basic subject tables and metrics, segments, star."""
+    """Rule report, order-driven wide table, basic subject tables and metrics, segments, star, each table checked."""
     t = typed_layer(source, store)
     gated(t, store, allowed)
     order = t["ods_order"].drop("etl_time", "source_system", "etl_batch")
@@ -116,23 +153,40 @@ def order_warehouse(
     t["quality_report"] = store.write_small("quality_report", quality.rule_suite(order, rules))
     t["quality_score"] = store.write_small("quality_score", quality.quality_score(t["quality_report"]))
     t["quality_error_rows"] = store.write("quality_error_rows", quality.error_rows(order, rules))
+
+    def wide_check(found: DataFrame) -> DataFrame:
+        rows = layer_checks.wide_rows(order, t["ods_order_detail"], found)
+        sold = found.filter(F.col("order_detail_id").isNotNull())
+        return rows.unionByName(layer_checks.amounts(sold)) if strict_amounts else rows
+
     d = store.write(
         "dwd_order_detail",
         wide.dwd_order_driven(order, t["ods_order_detail"], t["ods_customer"], t["ods_product"]),
+        wide_check,
     )
     t["dwd_order_detail"] = d
     valid = sales.valid_sales(d, source.statuses)
-    grain = store.write("dwd_valid_order", sales.order_grain(valid, GRAIN))
-    gates.require_unique_key(grain, "order_id", "dwd_valid_order")
-    t["dws_user_sales"] = store.write("dws_user_sales", sales.user_sales_basic(grain))
+    grain = store.write(
+        "dwd_valid_order", sales.order_grain(valid, GRAIN), lambda f: layer_checks.unique_key(f, "order_id", "dwd_valid_order")
+    )
+    t["dws_user_sales"] = store.write(
+        "dws_user_sales", sales.user_sales_basic(grain), lambda f: reconcile.user_sales_checks(grain, f)
+    )
     sold = valid.filter(F.col("order_detail_id").isNotNull())
-    t["dws_product_sales"] = store.write("dws_product_sales", sales.product_sales_basic(sold))
-    t["ads_sales_summary"] = store.write_small("ads_sales_summary", sales.daily_sales_basic(grain))
+    t["dws_product_sales"] = store.write(
+        "dws_product_sales", sales.product_sales_basic(sold), lambda f: layer_checks.basic_products(sold, f)
+    )
+    dated = grain.filter(F.col("order_time").isNotNull())
+    t["ads_sales_summary"] = store.write_small(
+        "ads_sales_summary", sales.daily_sales_basic(grain), lambda f: reconcile.daily_sales_checks(dated, f)
+    )
     t["ads_user_summary"] = store.write("ads_user_summary", sales.user_level(t["dws_user_sales"]))
     t["ads_product_summary"] = store.write(
         "ads_product_summary", abc.product_dense_ranks(t["dws_product_sales"])
     )
-    base = store.write("ads_user_rfm_base", rfm.rfm_base(t["dws_user_sales"]))
+    base = store.write(
+        "ads_user_rfm_base", rfm.rfm_base(t["dws_user_sales"]), lambda f: layer_checks.rfm_base(t["dws_user_sales"], f)
+    )
     t["ads_user_rfm_segment"] = store.write(
         "ads_user_rfm_segment", rfm.segments(rfm.scores_by_percentile(base))
     )
@@ -143,8 +197,12 @@ def order_warehouse(
     return t
 
 
-def run(source, base: str, kind: str = "detail") -> DataFrame:
-    """Build one warehouse below ``base``, check it, raise if a check fails."""
+def run(source, base: str, kind: str = "detail", strict_amounts: bool = False) -> DataFrame:
+    """Build one warehouse below ``base``, raise if a check fails.
+
+    A table that fails its own checks leaves the earlier one in place.
+    ``strict_amounts`` also stops where order amounts are not the sum of their details.
+    """
     kinds = {
         "detail": (detail_warehouse, reconcile.warehouse_checks_29),
         "order": (order_warehouse, reconcile.warehouse_checks_12),
@@ -153,8 +211,9 @@ def run(source, base: str, kind: str = "detail") -> DataFrame:
         raise ValueError(f"unknown warehouse kind: {kind}")
     build, check = kinds[kind]
     store = LayerStore(source.spark, base)
+    store.repair()
     with scratch_scope(source.spark):
-        tables = build(source, store)
+        tables = build(source, store, strict_amounts=strict_amounts)
         result = store.write_small("quality_checks", check(tables, source.statuses))
     reconcile.require_all_passed(result)
     return result
@@ -167,9 +226,10 @@ def main() -> None:
     p.add_argument("source", help="folder with order.csv, order_detail.csv, customer.csv, product.csv")
     p.add_argument("base", help="folder for the layer tables")
     p.add_argument("--kind", choices=("detail", "order"), default="detail")
+    p.add_argument("--strict-amounts", action="store_true", help="stop where order and detail amounts disagree")
     args = p.parse_args()
     tables = CleanedCsvTables if args.kind == "order" else CsvTables
-    run(tables(job_session(), args.source), args.base, args.kind).show(50, truncate=False)
+    run(tables(job_session(), args.source), args.base, args.kind, args.strict_amounts).show(50, truncate=False)
 
 
 if __name__ == "__main__":

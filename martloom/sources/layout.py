@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.functions import fixed
 from martloom.functions.columns import beside, half_up
+from martloom.sources.tables import path_exists
 
 
 def table_files(spark: SparkSession, path: str) -> DataFrame:
@@ -20,29 +24,50 @@ def table_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row_count) per file. No column is asked for, so tasks read the files' footers only."""
+    return spark.read.parquet(path).select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(
+        F.count(F.lit(1)).alias("row_count")
+    )
+
+
+def _partition(path: Column, root: str) -> Column:
+    """The ``column=value`` folders of a file below its table; empty where there are none."""
+    below = F.regexp_replace(path, f"^.*{re.escape(root.rstrip('/').rsplit('/', 1)[-1])}/", "")
+    return F.array_join(F.filter(F.split(below, "/"), lambda part: part.contains("=")), "/")
+
+
 def file_layout_audit(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Per table: files, MB, mean MB, rows, small-file warning, broadcast candidate."""
-    out = None
+    """Per table: whether it is there, files, partitions, MB, mean MB, rows, rows of the largest file,
+    small-file warning, broadcast candidate. Listings and footers only; a missing table is a row too."""
     mb = F.lit(1024 * 1024)
+    parts = []
     for name, path in paths.items():
-        files = table_files(spark, path).agg(
-            F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
-        )
-        rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
-        many = F.col("files") >= fixed.SMALL_FILE_COUNT
-        tiny = F.col("bytes") < F.col("files") * mb * fixed.SMALL_FILE_MB
-        row = beside(files, rows).select(
-            F.lit(name).alias("table_name"),
-            "files",
-            "bytes",
-            half_up(F.col("bytes"), mb, 2).alias("mb"),
-            F.coalesce(half_up(F.col("bytes"), mb * F.col("files"), 2), F.lit(0)).alias("avg_mb"),
-            "row_count",
-            (many & tiny).alias("small_files"),
-            (F.col("bytes") <= mb * fixed.BROADCAST_MB).alias("broadcastable"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+        there = path_exists(spark, path) and not table_files(spark, path).isEmpty()
+        if there:
+            files = table_files(spark, path).agg(
+                F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.countDistinct(_partition(F.col("path"), path)).alias("partitions")
+            )
+            rows = footers(spark, path).agg(F.sum("row_count").alias("row_count"), F.max("row_count").alias("largest_file_rows"))
+            one = beside(files, rows)
+        else:
+            one = spark.createDataFrame([(0, 0, 0, 0, 0)], "files bigint, bytes bigint, partitions bigint, row_count bigint, largest_file_rows bigint")
+        parts.append(one.select(F.lit(name).alias("table_name"), F.lit(there).alias("present"), *one.columns))
+    many = F.col("files") >= fixed.SMALL_FILE_COUNT
+    tiny = F.col("bytes") < F.col("files") * mb * fixed.SMALL_FILE_MB
+    return reduce(DataFrame.unionByName, parts).select(
+        "table_name",
+        "present",
+        "files",
+        "partitions",
+        "bytes",
+        half_up(F.col("bytes"), mb, 2).alias("mb"),
+        F.coalesce(half_up(F.col("bytes"), mb * F.col("files"), 2), F.lit(0)).alias("avg_mb"),
+        "row_count",
+        "largest_file_rows",
+        (many & tiny).alias("small_files"),
+        (F.col("present") & (F.col("bytes") <= mb * fixed.BROADCAST_MB)).alias("broadcastable"),
+    )
 
 
 TARGET_BYTES = 128 << 20

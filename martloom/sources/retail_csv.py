@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from martloom.functions import fixed
 from martloom.functions.columns import TRY_CASTS
-from martloom.operators.clean import clean_table, ods_typed, require_castable
+from martloom.operators.clean import clean_table, ingested
 from martloom.sources import schemas
 from martloom.sources.tables import csv_strict_scan
 
@@ -26,9 +26,7 @@ class CsvTables:
         return csv_strict_scan(self.spark, f"{self.folder}/{name}.csv", schemas.TABLES[name])
 
     def _typed(self, name: str) -> DataFrame:
-        raw = self.raw(name)
-        require_castable(raw, schemas.TABLES[name])
-        return ods_typed(raw, schemas.TABLES[name])
+        return ingested(self.raw(name), schemas.TABLES[name], name.replace("_", "-"))
 
     def order(self, with_area: bool = True) -> DataFrame:
         return self._typed("order")

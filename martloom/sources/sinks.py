@@ -17,15 +17,19 @@ def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
-def rows_seen(seen: Observation) -> int:
-    """The observed count. Where Spark found out that there is nothing to
-    write, it drops the counting step with the rest, and there is no value."""
+def observed_values(seen: Observation) -> dict[str, int]:
+    """What was observed. Where Spark found out that there is nothing to
+    write, it drops the counting step with the rest, and there are no values."""
     try:
-        return seen.get["rows"]
+        return dict(seen.get)
     except Py4JJavaError as e:
         if "NoSuchElement" not in e.java_exception.getClass().getName():
             raise
-        return 0
+        return {}
+
+
+def rows_seen(seen: Observation) -> int:
+    return observed_values(seen).get("rows", 0)
 
 
 def parquet_overwrite_verified(df: DataFrame, path: str) -> DataFrame:

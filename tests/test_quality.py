@@ -5,8 +5,9 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from martloom.operators import clean, quality
+from martloom.operators import clean, quality, rank
 from martloom.operators.quality import RuleSet
+from martloom.session import stage
 from martloom.sources import schemas
 
 T1, T2 = datetime(2025, 1, 1, 10), datetime(2025, 1, 2, 10)

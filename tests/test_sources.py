@@ -70,7 +70,7 @@ def test_missing_table_is_an_error(spark, tmp_path):
 
 def test_profile(spark):
     df = spark.range(100).repartition(3)
-    assert tuple(tables.table_profile(df, 100).first()) == (100, 3, 1, True)
+    assert tuple(tables.table_profile(df, 100).first()) == (100, 3, 1, "id bigint", True)
     assert tables.table_profile(df, 99).first().ok is False
 
 
