@@ -1,12 +1,14 @@
 """SimHash near-duplicates through an inverted index of byte positions.
 
 A 64-bit fingerprint is eight bytes. Two fingerprints that differ in at most d
-bits differ in at most d bytes, so they share at least 8 - d bytes in place. The
-index has an entry for every choice, out of a small family, of positions with
-their bytes; the family is such that any 8 - d positions contain one choice, so
-no pair within d bits is missed. Of the pairs that meet in a bucket the shared
-positional bytes are tallied, pairs under the guaranteed minimum go, and the
-rest is verified by its bits.
+bits differ in at most d bytes, so they share at least 8 - d bytes in place. A
+posting of one position and its byte would hold a 256th of all fingerprints, so
+postings are refined to four positions with their bytes, out of a small family:
+any 8 - d positions are covered, each of them, by members of the family that lie
+wholly inside. Pairs that meet in a bucket bring the positions they share there;
+these are tallied by pair over all buckets. A pair that shares 8 - d bytes or more
+reaches a tally of as many, so pairs below that minimum go without being looked
+at, and the rest is verified by its bits.
 
 A bucket with more than ``HOT`` fingerprints does not list its pairs. Its
 fingerprints hang on hubs instead, which are themselves and every value one bit
@@ -27,7 +29,8 @@ Texts under one shingle are verified with the least of them first; then all
 pairs that this has not connected are, so no bucket's size decides what stays.
 
 Defined results: a null text is an empty one; texts without words have
-fingerprint zero and are linked like any others; a null id is never a component
+fingerprint zero and are linked like any others; a text of any length is one row
+and is read whole, its shingles are counted in blocks; a null id is never a component
 id unless the whole component has none; repeated rows are rows of their own;
 an empty table gives no rows. In the stage all columns are carried and one row
 of each group stays: the one with the least doc_id, then the first read.
@@ -101,27 +104,33 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
 
 def position_choices(bits: int = BITS, size: int = KEY_BYTES) -> list[tuple[int, ...]]:
-    """Choices of ``size`` positions such that any ``BYTES - bits`` positions hold one of them whole."""
-    open_sets = [frozenset(s) for s in combinations(range(BYTES), BYTES - bits)]
+    """Choices of ``size`` positions such that those inside any ``BYTES - bits`` positions cover all of these."""
+    sets = [frozenset(s) for s in combinations(range(BYTES), BYTES - bits)]
+    bare = {(s, p) for s in sets for p in s}
     choices = []
-    while open_sets:
-        best = max(combinations(range(BYTES), size), key=lambda c: sum(s.issuperset(c) for s in open_sets))
+    while bare:
+        best = max(combinations(range(BYTES), size), key=lambda c: sum((s, p) in bare for s in sets if s.issuperset(c) for p in c))
         choices.append(best)
-        open_sets = [s for s in open_sets if not s.issuperset(best)]
+        bare -= {(s, p) for s in sets if s.issuperset(best) for p in best}
     return choices
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    differ = a.bitwiseXOR(b)
-    same = [F.when(F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(BYTES)]
-    return sum(same[1:], same[0])
+def tallied(postings: DataFrame, bucket: list[str], positions: Column) -> DataFrame:
+    """(a, fa, b, fb, shared): pairs that meet in any bucket, with the number of positional bytes they were seen to share."""
+    side = {n: [*bucket, F.col("id").alias(n), F.col("fp").alias(f"f{n}")] for n in ("a", "b")}
+    left, right = postings.select(*side["a"], positions.alias("positions")), postings.select(*side["b"])
+    met = left.join(right, bucket).where("a < b")
+    pairs = met.groupBy("a", "fa", "b", "fb").agg(F.bit_or("positions").alias("positions"))
+    return pairs.select("a", "fa", "b", "fb", F.bit_count("positions").alias("shared"))
 
 
 def links(nodes: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """Links (a, b), a < b, between nodes (id, print, fp) whose fingerprints of one kind are within ``bits``.
 
-    Together they connect whatever is connected; a bucket of at most ``hot``
-    nodes gives all its links, a larger one the links to hubs' least nodes.
+    Together they connect whatever is connected; buckets of at most ``hot``
+    nodes give all links whose tally they reach together, nodes of a larger one
+    get links to hubs' least nodes. A pair that falls short because it shares a
+    larger bucket is among the latter with both its nodes.
     Needs ``bits`` of at most 2.
     """
     if bits > 2:
@@ -137,16 +146,11 @@ def links(nodes: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     filled = stage(index.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     posted = stage(index.join(filled, bucket), "postings")
 
-    small = posted.where(F.col("n") <= hot)
-    left = small.select(*bucket, F.col("id").alias("a"), F.col("fp").alias("fa"))
-    right = small.select(*bucket, F.col("id").alias("b"), F.col("fp").alias("fb"))
     # Nodes of one small bucket meet: at most ``hot`` partners for each.
-    close = (shared_bytes(F.col("fa"), F.col("fb")) >= BYTES - bits) & (
-        F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= bits
-    )
-    met = left.alias("l").join(
-        right.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in bucket] + [F.col("a") < F.col("b"), close]
-    ).select("a", "b")
+    held = F.array(*[F.lit(sum(1 << k for k in c)) for c in position_choices(bits)])
+    pairs = tallied(posted.where(F.col("n") <= hot), bucket, F.get(held, F.col("choice") % len(masks)))
+    enough = pairs.where(F.col("shared") >= BYTES - bits)
+    met = enough.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= bits).select("a", "b")
 
     kind = F.floor(F.col("choice") / len(masks)).cast("int").alias("print")
     crowded = stage(posted.where(F.col("n") > hot).select("id", kind, "fp").distinct(), "crowded")

@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from martloom.llm import neighbours, simhash
 
 
@@ -91,7 +93,32 @@ def test_position_choices_miss_no_pair():
     for bits, size in ((0, 8), (1, 4), (2, 4), (2, 3)):
         choices = simhash.position_choices(bits, size)
         for gone in itertools.combinations(range(8), bits):
-            assert any(not set(c) & set(gone) for c in choices)
+            # Every position that is left is in a choice of positions that are all left.
+            assert set().union(*[c for c in choices if not set(c) & set(gone)]) == set(range(8)) - set(gone)
+
+
+def test_tally_counts_shared_bytes_and_drops_the_rest(spark):
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    prints = {base}
+    for _ in range(300):  # single bits, whole bytes, several bytes
+        value = base
+        for _ in range(rng.randint(1, 5)):
+            value ^= rng.choice([1, 3, 255, 129]) << (8 * rng.randrange(8))
+        prints.add(value)
+    prints = sorted(map(simhash.signed, prints))
+    masks = simhash.position_choices()
+    rows = [(p, p, n, p & simhash.signed(sum(255 << (8 * k) for k in c)), sum(1 << k for k in c)) for p in prints for n, c in enumerate(masks)]
+    postings = spark.createDataFrame(rows, "id long, fp long, choice int, bytes long, held int")
+    found = {(r.a, r.b): r.shared for r in simhash.tallied(postings, ["choice", "bytes"], F.col("held")).collect()}
+    dropped = 0
+    for a, b in itertools.combinations(prints, 2):
+        same = [k for k in range(8) if not ((a ^ b) >> (8 * k)) & 255]
+        seen = set().union(*[set(c) for c in masks if set(c) <= set(same)])
+        assert found.get((a, b), 0) == len(seen) and (len(same) < 6 or len(seen) == len(same))
+        dropped += 0 < len(seen) < 6
+        assert len(seen) >= 6 or ((a ^ b) & ((1 << 64) - 1)).bit_count() > 2
+    assert dropped > 100
 
 
 def test_near_dedup_stage(spark, docs):

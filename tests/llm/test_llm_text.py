@@ -94,6 +94,30 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_classifier_equals_plain_model(spark, folder):
+    """Moments, shrinkage and scores against numpy on all labelled rows, densities by solving and determinants."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    rows = classifier.described(docs, ["doc_id"]).collect()
+    x = {r.doc_id: np.array(r.x) for r in rows}
+    assert all(np.allclose(x[r.doc_id], classifier.statistics(r.text or "")) for r in docs.collect())
+    learned = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id in x and zlib.crc32(str(r.doc_id).encode()) % 5}
+    groups = [np.stack([x[d] for d, y in learned.items() if y == k]) for k in (0, 1)]
+    n = [len(g) for g in groups]
+    own = [np.cov(g.T, bias=True) for g in groups]
+    common = (n[0] * own[0] + n[1] * own[1]) / sum(n)
+
+    def density(k, v):
+        c = 0.8 * own[k] + 0.2 * common
+        c = 0.9 * c + 0.1 * np.diag(np.diag(c)) + 0.05 * np.eye(len(c))
+        d = v - groups[k].mean(axis=0)
+        return np.log(n[k] / sum(n)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * d @ np.linalg.solve(c, d)
+
+    got = {r.doc_id: r.score for r in classifier.op8_classifier(spark, folder).collect()}
+    for d, v in x.items():
+        assert abs(got[d] - 1 / (1 + np.exp(np.clip(density(0, v) - density(1, v), -500, 500)))) < 1e-6
+
+
 def test_classifier_learns_from_no_held_out_label(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
