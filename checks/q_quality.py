@@ -318,9 +318,13 @@ _TINY = "CAST(l_discount AS DOUBLE) / 3e6 + l_orderkey * 1e-9"
     "numeric_summary_double",
     "column_name:s row_count:i min:d max:d p25:d p50:d p75:d p90:d p99:d",
     " UNION ALL ".join(
-        f"""SELECT '{name}' AS column_name, count(v) AS row_count, min(v) AS min, max(v) AS max,
-    quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.9) AS p90, quantile_cont(v, 0.99) AS p99
-    FROM (SELECT {v} AS v FROM lineitem)"""
+        f"SELECT '{name}' AS column_name, count(*) AS row_count, min(v) AS min, max(v) AS max, "
+        + ", ".join(
+            f"max(v) FILTER (WHERE i = (n - 1) * {p} // 100) * (1 - max((n - 1) * {p} % 100) / 100.0::DOUBLE)"
+            f" + max(v) FILTER (WHERE i = ((n - 1) * {p} + 99) // 100) * (max((n - 1) * {p} % 100) / 100.0::DOUBLE) AS p{p}"
+            for p in quality.PERCENTS
+        )
+        + f" FROM (SELECT {v} AS v, row_number() OVER (ORDER BY {v}) - 1 AS i, count(*) OVER () AS n FROM lineitem)"
         for name, v in {"tiny": f"round(({_TINY}) * 1e7)", "huge": "l_extendedprice * 1e20"}.items()
     ),
 )

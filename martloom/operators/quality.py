@@ -100,8 +100,7 @@ def numeric_summary(df: DataFrame, columns) -> DataFrame:
         s = F.col(f"s{i}")
         lo, hi, share = s[f"lo{p}"], s[f"hi{p}"], ((s["n"] - 1) * p) % 100
         part = share.cast("double") / 100 if floating[i] else share * F.lit(Decimal("0.01"))
-        # In doubles, equal neighbours stay what they are.
-        return (F.when(lo == hi, lo).otherwise(lo * (1 - part) + hi * part) if floating[i] else lo + (hi - lo) * part).cast(wider)
+        return (lo * (1 - part) + hi * part if floating[i] else lo + (hi - lo) * part).cast(wider)
 
     rows = [
         F.struct(
