@@ -117,7 +117,7 @@ def detail_cardinality(t: Tables):
     "strategy:s joined_rows:i unmatched_rows:i",
     """WITH j AS (SELECT count(*) AS joined_rows, count(*) - count(p.product_id) AS unmatched_rows
       FROM f_detail d LEFT JOIN f_product p ON d.product_id = p.product_id)
-    SELECT 'merge' AS strategy, * FROM j UNION ALL SELECT 'auto', * FROM j""",
+    SELECT 'merge' AS strategy, * FROM j UNION ALL SELECT 'broadcast', * FROM j""",
 )
 def join_strategy_equivalence(t: Tables):
     return wide.join_strategy_equivalence(t.faulty.detail(), t.faulty.product())

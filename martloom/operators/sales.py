@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from martloom.functions import fixed
 from martloom.functions.columns import beside, count_if, half_up
 
+# ---- fixed values: attribute columns of the subject tables, in output order
 CUSTOMER_ATTRIBUTES = (
     "customer_name",
     "gender",
@@ -53,15 +54,6 @@ def valid_sales_counts(order: DataFrame, detail: DataFrame, statuses) -> DataFra
     )
 
 
-def one_row_per(df: DataFrame, key: str, columns) -> DataFrame:
-    """One whole row per key: the smallest, so row order does not matter.
-
-    An aggregate, not a window: copies of a key collapse before the shuffle.
-    """
-    row = F.struct(*[F.col(c) for c in columns if c != key])
-    return df.groupBy(key).agg(F.min(row).alias("r")).select(key, "r.*").select(*columns)
-
-
 def order_grain(wide: DataFrame, columns) -> DataFrame:
     """One row per order from the wide table.
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martloom.functions import fixed
 from martloom.functions.columns import beside, count_if, half_up, with_etl_columns
+from martloom.session import stage
 
 # ---- fixed values: wide-table columns, (source column, output name) -------
 DETAIL_PART = (
@@ -180,17 +182,14 @@ def detail_cardinality(detail: DataFrame) -> DataFrame:
     )
 
 
-def left_join_outcome(detail: DataFrame, product: DataFrame, strategy: str) -> DataFrame:
-    """Rows and unmatched rows of detail left join product under one strategy.
+def written_bytes(table: DataFrame) -> int:
+    """Size of a written table, from the listing of its files."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    ``merge`` forces a sort-merge join; ``auto`` leaves the choice to Spark,
-    which broadcasts the product side only when its size allows.
-    """
-    right = product.select(F.col("product_id").alias("p_id"))
-    if strategy == "merge":
-        right = right.hint("merge")
-    elif strategy != "auto":
-        raise ValueError(f"unknown join strategy: {strategy}")
+
+def left_join_outcome(detail: DataFrame, keys: DataFrame, strategy: str) -> DataFrame:
+    """Rows and unmatched rows of detail left join product keys (``p_id``) under one strategy: merge, broadcast or shuffle_hash."""
+    right = F.broadcast(keys) if strategy == "broadcast" else keys.hint(strategy)
     return (
         detail.select("product_id")
         .join(right, F.col("product_id") == F.col("p_id"), "left")
@@ -199,10 +198,15 @@ def left_join_outcome(detail: DataFrame, product: DataFrame, strategy: str) -> D
     )
 
 
-def join_strategy_equivalence(detail: DataFrame, product: DataFrame) -> DataFrame:
-    return left_join_outcome(detail, product, "merge").unionByName(
-        left_join_outcome(detail, product, "auto")
-    )
+def join_strategy_equivalence(detail: DataFrame, product: DataFrame, most_bytes: int = fixed.BROADCAST_MB << 20) -> DataFrame:
+    """Sort-merge join against a broadcast of the product keys.
+
+    The keys are written first and broadcast only if their files are small
+    enough; larger ones are compared with a shuffled hash join instead.
+    """
+    keys = stage(product.select(F.col("product_id").alias("p_id")), "product-keys")
+    other = "broadcast" if written_bytes(keys) <= most_bytes else "shuffle_hash"
+    return left_join_outcome(detail, keys, "merge").unionByName(left_join_outcome(detail, keys, other))
 
 
 # ---- order / detail fan-out ---------------------------------------------

@@ -216,3 +216,13 @@ def test_layout_counts_partitions_and_missing_tables(spark, tmp_path):
     assert (got["t"].present, got["t"].files, got["t"].partitions, got["t"].row_count, got["t"].largest_file_rows) == (True, 10, 10, 100, 10)
     assert (got["none"].present, got["none"].files, got["none"].small_files, got["none"].broadcastable) == (False, 0, False, False)
     assert "ReadSchema: struct<>" in initial(layout.footers(spark, path))
+
+
+def test_small_side_is_broadcast_after_a_size_check(spark, folder):
+    from martloom.operators import wide
+
+    t = RetailTables(spark, folder)
+    small, large = [wide.join_strategy_equivalence(t.detail(), t.product(), n) for n in (10 << 20, 10)]
+    assert initial(small).count("BroadcastHashJoin") == 1 and initial(small).count("SortMergeJoin") == 1
+    assert initial(large).count("ShuffledHashJoin") == 1 and "BroadcastHashJoin" not in initial(large)
+    assert {r.strategy: (r.joined_rows, r.unmatched_rows) for r in large.collect()} == dict.fromkeys(("merge", "shuffle_hash"), (t.detail().count(), 0))
