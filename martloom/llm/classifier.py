@@ -11,7 +11,8 @@ The fit needs two rows of sums, which Spark adds up over all labelled texts.
 Defined results: a null text is an empty one, and scored; rows with a null label
 or without a text of their id teach nothing, a repeated label row counts again;
 with labels of a single class or none the score is the share of label 1, or one
-half; an empty table gives no rows. Labels, language, source and id are no input
+half; equal texts get equal scores; a text of any length is one row and is read
+whole; an empty table gives no rows. Labels, language, source and id are no input
 of a score. Other columns are ignored.
 """
 

@@ -20,7 +20,7 @@ Two hashes of different pairs meet with a chance of 2^-64.
 
 Defined results: a null text is an empty one: its end token is still scored;
 a null id counts as empty text in the fold; repeated rows are texts of their
-own and count again; with no training text the counts are zero and P is
+own and count again; a text of any length stays whole in one block; with no training text the counts are zero and P is
 the even share; an empty table gives no rows. Other columns are ignored.
 """
 

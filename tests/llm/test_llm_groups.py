@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from martloom.llm import common, fertility, interpolation, mixing, sharding
+from martloom.llm import common, fertility, interpolation, mixing, sharding, simhash
 from martloom.session import stage
 
 
@@ -117,3 +117,24 @@ def test_many_sources_are_named(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "MANY", 2)
     with pytest.warns(UserWarning, match="sources"):
         mixing.mix(docs, F.lit(1), mixing.cycle_weights(docs))
+
+
+@pytest.mark.parametrize("own", [60, 6])
+def test_pairs_grow_with_texts_that_share_a_notice(spark, monkeypatch, own):
+    """A notice of fifty words in every text: what is verified does not grow with the square."""
+    rng = random.Random(own)
+    notice = " ".join(f"n{k}" for k in range(50))
+    met = {}
+
+    def spied(df, name):
+        out = stage(df, name)
+        if name in ("star-pairs", "open-pairs"):
+            met[n] = met.get(n, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stage", spied)
+    for n in (300, 1200):
+        texts = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(own)) + " " + notice) for k in range(n)]
+        found = simhash.groups_of_near_copies(stage(spark.createDataFrame(texts, "id long, text string"), "texts"))
+        assert found.count() == 0
+    assert met[1200] <= 6 * max(met[300], 300)
