@@ -25,8 +25,11 @@ in one order of all shingles, two such sets have their first common shingle near
 the start of both (prefix filter), so only the first fifth of each set is
 listed, and texts meet under a shingle only if enough of both sets is left from
 there on. The order puts shingles from fuller cells of a table of counts last.
-Texts under one shingle are verified with the least of them first; then all
-pairs that this has not connected are, so no bucket's size decides what stays.
+Texts under one shingle are verified with the least of them first; then those not
+connected with one member of the largest group a round, for a few rounds; then all
+pairs still apart, so no bucket's size decides what stays. Of these a pair is made
+only if the parities of both sets, 512 bits each, differ in no more places than
+the sets may differ in shingles: a shingle that one set has alone changes one bit.
 
 Defined results: a null text is an empty one; texts without words have
 fingerprint zero and are linked like any others; a text of any length is one row
@@ -46,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm.common import components, named, output, packed, table, unpacked
+from martloom.llm.common import components, named, output, packed, same, table, unpacked
 from martloom.session import stage
 
 SEED = 42
@@ -59,6 +62,8 @@ BLOCK = 1 << 15  # shingles counted at once
 
 SET_WORDS = 5
 SIMILAR = (4, 5)  # least Jaccard similarity of a link, as a fraction of whole numbers
+ROUNDS = 2  # of one centre per bucket before pairs are made
+SKETCH = 8  # longs of a set's parity sketch
 CELL_BITS = 18  # of a shingle's hash: its cell in the table of counts
 
 
@@ -220,6 +225,28 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(hashed, "id long, shingles array<long>")
 
 
+def parity_sketches(texts: DataFrame) -> DataFrame:
+    """(id, parity): for each of 64 * ``SKETCH`` cells whether an odd number of the text's shingles falls into it."""
+
+    def sketched(batches):
+        for batch in batches:
+            found = []
+            for t in batch.column("text"):
+                cells = np.bincount((shingle_set(t.as_py()) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+                found.append(np.packbits(cells.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "parity"])
+
+    return texts.mapInArrow(sketched, "id long, parity array<long>")
+
+
+def may_agree(a: str, b: str) -> Column:
+    """False only for sets that differ in more shingles than SIMILAR allows: every differing parity is one such shingle at least."""
+    part, whole = SIMILAR
+    differ = [F.bit_count(F.get(f"{a}.parity", F.lit(k)).bitwiseXOR(F.get(f"{b}.parity", F.lit(k)))) for k in range(SKETCH)]
+    total = (F.col(f"{a}.size") + F.col(f"{b}.size")).cast("long")
+    return sum(differ[1:], differ[0]) * (part + whole) <= (whole - part) * total
+
+
 def cell_ranks(texts: DataFrame) -> np.ndarray:
     """Place of each cell of shingle hashes when the emptiest comes first."""
 
@@ -303,9 +330,38 @@ def groups_of_near_copies(texts: DataFrame) -> DataFrame:
     stars = others.where(can_link("p", "c")).select(F.col("c.id").alias("a"), F.col("p.id").alias("b"))
     found = verified(texts, stage(stars.distinct(), "star-pairs"))
     roots = stage(components(found), "star-roots")
-    # Then all pairs under a shingle that are not connected yet. The largest group of a bucket is not paired with itself.
+    # Then what is not connected yet under a shingle, with members of its largest group, one a round: linear in the bucket.
+    mixed = unconnected(others.select("p.*"), roots)
+    # Only their texts take part from here on.
+    texts = stage(texts.join(mixed.select("id").distinct().hint("merge"), "id", "left_semi"), "open-texts")
+    for number in range(ROUNDS):
+        if mixed.isEmpty():
+            break
+        turn = F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("turn"), "id", "size", "rest"))
+        centres = stage(mixed.where("root = main").groupBy("shingle").agg(turn.alias("c")).select("shingle", "c.*"), "centres")
+        met = mixed.where("root <> main").alias("p").join(centres.alias("c"), same("p", "c", ["shingle"]))
+        pairs = met.where(can_link("p", "c")).select(F.least("p.id", "c.id").alias("a"), F.greatest("p.id", "c.id").alias("b"))
+        more = verified(texts, stage(pairs.distinct(), "star-pairs"))
+        if more.isEmpty():
+            break
+        found = found.union(more)
+        roots = stage(components(found), "star-roots")
+        mixed = unconnected(mixed.select("shingle", "id", "size", "rest"), roots)
+    # Last, all pairs that are still apart. The largest group of a bucket is not paired with itself.
+    mixed = stage(mixed.join(stage(parity_sketches(texts), "sketches"), "id"), "sketched")
+    left, right = mixed.where("root <> main").alias("l"), mixed.alias("r")
+    apart = (F.col("l.root") != F.col("r.root")) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
+    pairs = left.join(right, (F.col("l.shingle") == F.col("r.shingle")) & apart & can_link("l", "r") & may_agree("l", "r")).select(
+        F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")
+    )
+    more = verified(texts, stage(pairs.distinct(), "open-pairs"))
+    return components(found.union(more))
+
+
+def unconnected(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """Postings of the buckets with more than one group, with ``root``, their group, and ``main``, the bucket's largest one."""
     rooted = stage(
-        others.select("p.*").join(roots, F.col("id") == F.col("node"), "left").select(
+        postings.join(roots, F.col("id") == F.col("node"), "left").select(
             "shingle", "id", "size", "rest", F.coalesce("root", "id").alias("root")
         ),
         "rooted",
@@ -313,14 +369,7 @@ def groups_of_near_copies(texts: DataFrame) -> DataFrame:
     held = stage(rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")), "bucket-groups")
     main = held.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("groups"))
     main = stage(main.where("groups > 1").select("shingle", F.col("main.root").alias("main")), "mixed-buckets")
-    mixed = stage(rooted.join(main, "shingle"), "mixed")
-    left, right = mixed.where("root <> main").alias("l"), mixed.alias("r")
-    apart = (F.col("l.root") != F.col("r.root")) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
-    pairs = left.join(right, (F.col("l.shingle") == F.col("r.shingle")) & apart & can_link("l", "r")).select(
-        F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")
-    )
-    more = verified(texts, stage(pairs.distinct(), "open-pairs"))
-    return components(found.union(more))
+    return stage(rooted.join(main, "shingle"), "mixed")
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

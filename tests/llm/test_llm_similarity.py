@@ -186,6 +186,25 @@ def test_near_dedup_finds_every_passage_edit(spark):
     assert stage_keeps(spark, texts) == kept
 
 
+def test_parity_sketches_let_no_link_go(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(300)}" for _ in range(200)]
+    texts = ["", "a"]
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 12)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(words[: rng.randint(120, 200)]))
+    rows = simhash.parity_sketches(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    sized = rows.join(simhash.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "id long, text string")), "id").withColumn("size", F.size("shingles"))
+    found = sized.alias("l").join(sized.alias("r"), F.col("l.id") < F.col("r.id")).select(
+        simhash.may_agree("l", "r").alias("may"), F.size(F.array_intersect("l.shingles", "r.shingles")).alias("both"),
+        (F.col("l.size") + F.col("r.size")).alias("sizes"),
+    ).collect()
+    similar = [r.may for r in found if r.sizes and 5 * r.both >= 4 * (r.sizes - r.both)]
+    assert len(similar) > 50 and all(similar) and sum(not r.may for r in found) > 500
+
+
 def test_near_dedup_of_one_vocabulary_in_other_orders(spark):
     """Pairs alike to each other and not to the least text of their many shared shingles."""
     rng = random.Random(6)
