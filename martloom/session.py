@@ -140,5 +140,6 @@ def stage(df, name: str):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    # Read once or twice and then deleted: small on disk counts more than fast to write.
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
