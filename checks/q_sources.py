@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from checks.model_sql import VALID
 from checks.registry import Tables, query
 from checks.text_tables import text_detail, text_order, with_text
+from martloom.functions import fixed
 from martloom.functions.columns import is_blank, with_etl_columns
-from martloom.operators import clean, sales, versions, wide
+from martloom.operators import clean, rank, sales, versions, wide
 from martloom.sources import layout, partitions, schemas, sinks, tables
 
 MONTH = "1997-05"
@@ -200,20 +201,32 @@ def upsert_months(t: Tables):
     )
 
 
+# The audited tables are written plain (no dictionary, no compression), so their bytes follow from the values: a number takes
+# its width, a text four bytes and its own. What Parquet adds (page headers, footers) is under one in a hundred of a MB or more.
+_PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
+_KEYED = "8 + 4 + octet_length(encode(c_name)) + 4 + 8"  # c_custkey, c_name, c_nationkey, c_acctbal
+_SIZES = f"""sizes AS (SELECT count(*) AS n, sum({_KEYED}) AS keyed, sum({_KEYED} + 4 + octet_length(encode(c_mktsegment))) AS whole FROM customer),
+    segments AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment)"""
+
+
 @query(
     "file_layout_audit",
     "table_name:s present:b files:i partitions:i row_count:i largest_file_rows:i small_files:b broadcastable:b",
-    """SELECT 'many' AS table_name, true AS present, 12 AS files, 1 AS partitions, count(*) AS row_count, CAST(ceil(count(*) / 12) AS BIGINT) AS largest_file_rows,
-      true AS small_files, true AS broadcastable FROM customer
-    UNION ALL SELECT 'by_segment', true, count(*), count(*), sum(n), max(n), count(*) >= 10, true FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)
+    f"""WITH {_SIZES}
+    SELECT 'many' AS table_name, true AS present, least(n, 12) AS files, 1 AS partitions, n AS row_count, CAST(ceil(n / 12) AS BIGINT) AS largest_file_rows,
+      least(n, 12) >= {fixed.SMALL_FILE_COUNT} AND whole < least(n, 12) * {fixed.SMALL_FILE_MB << 20} AS small_files, whole <= {fixed.BROADCAST_MB << 20} AS broadcastable FROM sizes
+    UNION ALL SELECT 'by_segment', true, count(*), count(*), sum(s.n), max(s.n), count(*) >= {fixed.SMALL_FILE_COUNT} AND any_value(keyed) < count(*) * {fixed.SMALL_FILE_MB << 20},
+      any_value(keyed) <= {fixed.BROADCAST_MB << 20} FROM segments AS s, sizes
     UNION ALL SELECT 'one', true, 1, 1, count(*), count(*), false, true FROM nation
     UNION ALL SELECT 'missing', false, 0, 0, 0, 0, false, false""",
 )
 def file_layout_audit(t: Tables):
-    """Tables written here with known files."""
+    """Tables written here with known files: rows dealt evenly to twelve, one file per segment, one file, none."""
     customer, paths = t.clean.raw("customer"), {n: t.scratch(n) for n in ("many", "by_segment", "one", "missing")}
-    customer.repartition(1).repartition(12).write.parquet(paths["many"])
-    customer.repartition(1).write.partitionBy("c_mktsegment").parquet(paths["by_segment"])
+    # Numbered first: a round robin begins anew in every input partition and leaves uneven files.
+    dealt = rank.global_rank(customer, [F.asc("c_custkey")], rank="__rn")
+    dealt.repartitionById(12, (F.col("__rn") % 12).cast("int")).drop("__rn").write.options(**_PLAIN).parquet(paths["many"])
+    customer.repartition("c_mktsegment").write.options(**_PLAIN).partitionBy("c_mktsegment").parquet(paths["by_segment"])
     t.clean.raw("nation").coalesce(1).write.parquet(paths["one"])
     return layout.file_layout_audit(t.spark, paths)
 
