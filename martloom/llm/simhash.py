@@ -19,9 +19,10 @@ so a large bucket costs 65 rows per fingerprint and loses no connection.
 Fingerprints equal each other in groups of any size; they are reduced to one
 before the index is made.
 
-The pipeline stage does not use fingerprints. It links texts with a Jaccard
-similarity of 0.8 or more on their sets of five-word shingles and misses none:
-in one order of all shingles, two such sets have their first common shingle near
+The pipeline stage takes the links between fingerprints as they are, by the same
+index, tally and hubs. After that it looks for what fingerprints do not see: it also
+links texts with a Jaccard similarity of 0.8 or more on their sets of five-word
+shingles and misses none. Pairs that fingerprints have connected are not compared again. In one order of all shingles, two such sets have their first common shingle near
 the start of both (prefix filter), so only the first fifth of each set is
 listed, and texts meet under a shingle only if enough of both sets is left from
 there on. The order puts shingles from fuller cells of a table of counts last.
@@ -50,7 +51,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.llm.common import components, named, output, packed, same, table, unpacked
-from martloom.session import stage
+from martloom.session import scratch_scope, stage
 
 SEED = 42
 BYTES = 8
@@ -173,13 +174,17 @@ def star(members: DataFrame, centres: DataFrame, keys: list[str]) -> DataFrame:
     return members.join(centres, keys).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
 
 
-def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = stage(fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
+def print_roots(prints: DataFrame) -> DataFrame:
+    """(fp, root) of each distinct ``fp``: fingerprints connected by links within ``BITS`` have one root."""
     # Equal fingerprints are one node, which is its own id.
-    nodes = prints.select(F.col("fp").alias("id"), F.lit(0).alias("print"), "fp").distinct()
+    nodes = stage(prints.select(F.col("fp").alias("id"), F.lit(0).alias("print"), "fp").distinct(), "distinct-prints")
     roots = components(links(nodes))
-    groups = prints.groupBy("fp").agg(F.min("key").alias("least")).join(roots, F.col("fp") == F.col("node"), "left")
-    groups = groups.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = stage(fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
+    groups = prints.groupBy("fp").agg(F.min("key").alias("least")).join(print_roots(prints), "fp")
     ids = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     found = groups.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(found, "fp").select(
@@ -188,15 +193,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_hashes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents in ``row`` with ``same``, a hash of the word sequence."""
+    """Documents in ``row`` with ``same``, a hash of the word sequence, and ``fp``, the fingerprint."""
     rows = docs.select(packed(docs), F.coalesce(named(text), F.lit("")).alias("text"))
 
     def hashed(batches):
         for batch in batches:
-            same = [xxhash.xxh3_128_digest(b" ".join(t.as_py().encode().lower().split())) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(same, pa.binary())], ["row", "same"])
+            same, prints = [], []
+            for t in batch.column("text"):
+                same.append(xxhash.xxh3_128_digest(b" ".join(t.as_py().encode().lower().split())))
+                prints.append(signed(fingerprint(shingle_hashes(t.as_py(), WORDS))))
+            columns = [batch.column("row"), pa.array(same, pa.binary()), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "same", "fp"])
 
-    return rows.mapInArrow(hashed, output(rows, ["row"], "same binary"))
+    return rows.mapInArrow(hashed, output(rows, ["row"], "same binary, fp long"))
 
 
 def shingle_set(text: str, size: int = SET_WORDS) -> np.ndarray:
@@ -307,28 +316,40 @@ def can_link(a: str, b: str) -> Column:
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are SIMILAR, by their whole sets."""
-    wanted = stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-    # Both lists of ids grow with the texts: dealt by id at every size, not broadcast while they are short.
-    sets = stage(shingle_sets(texts.join(wanted.hint("merge"), "id", "left_semi")), "shingles")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
-    )
-    shared = F.size(F.array_intersect("sa", "sb"))
-    part, whole = SIMILAR
-    return stage(both.where(whole * shared >= part * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "verified")
-
-
-def groups_of_near_copies(texts: DataFrame) -> DataFrame:
-    """(node, root) of texts (id, text) that are connected by links of SIMILAR or more."""
-    listed = stage(prefixes(texts), "prefixes")
-    filled = stage(listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"), "buckets")
-    posted = stage(listed.join(filled, "shingle"), "postings")
+    with scratch_scope(texts.sparkSession) as keep:
+        wanted = stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+        # Both lists of ids grow with the texts: dealt by id at every size, not broadcast while they are short.
+        sets = stage(shingle_sets(texts.join(wanted.hint("merge"), "id", "left_semi")), "shingles")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
+            sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
+        )
+        shared = F.size(F.array_intersect("sa", "sb"))
+        part, whole = SIMILAR
+        return keep(both.where(whole * shared >= part * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "verified")
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that ``roots`` (node, root) does not connect."""
+    a, b = (roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in ("a", "b"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def groups_of_near_copies(texts: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """(node, root) of texts (id, text) that are connected by links of SIMILAR or more, or by ``linked`` (node, root)."""
+    spark = texts.sparkSession
+    if linked is None:
+        linked = spark.createDataFrame([], "node long, root long")
+    with scratch_scope(spark) as keep:
+        listed = stage(prefixes(texts), "prefixes")
+        filled = stage(listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"), "buckets")
+        posted = keep(listed.join(filled, "shingle"), "postings")
     # First every text with the least one under a shingle.
     centres = stage(posted.groupBy("shingle").agg(F.min(F.struct("id", "size", "rest")).alias("c")).select("shingle", "c.*"), "centres")
     met = posted.alias("p").join(centres.alias("c"), F.col("p.shingle") == F.col("c.shingle"))
     others = met.where("p.id <> c.id")
     stars = others.where(can_link("p", "c")).select(F.col("c.id").alias("a"), F.col("p.id").alias("b"))
-    found = verified(texts, stage(stars.distinct(), "star-pairs"))
+    found = verified(texts, stage(apart(stars.distinct(), linked), "star-pairs"))
+    found = found.union(linked.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
     roots = stage(components(found), "star-roots")
     # Then what is not connected yet under a shingle, with members of its largest group, one a round: linear in the bucket.
     mixed = unconnected(others.select("p.*"), roots)
@@ -350,8 +371,8 @@ def groups_of_near_copies(texts: DataFrame) -> DataFrame:
     # Last, all pairs that are still apart. The largest group of a bucket is not paired with itself.
     mixed = stage(mixed.join(stage(parity_sketches(texts), "sketches"), "id"), "sketched")
     left, right = mixed.where("root <> main").alias("l"), mixed.alias("r")
-    apart = (F.col("l.root") != F.col("r.root")) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
-    pairs = left.join(right, (F.col("l.shingle") == F.col("r.shingle")) & apart & can_link("l", "r") & may_agree("l", "r")).select(
+    split = (F.col("l.root") != F.col("r.root")) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
+    pairs = left.join(right, (F.col("l.shingle") == F.col("r.shingle")) & split & can_link("l", "r") & may_agree("l", "r")).select(
         F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")
     )
     more = verified(texts, stage(pairs.distinct(), "open-pairs"))
@@ -360,26 +381,32 @@ def groups_of_near_copies(texts: DataFrame) -> DataFrame:
 
 def unconnected(postings: DataFrame, roots: DataFrame) -> DataFrame:
     """Postings of the buckets with more than one group, with ``root``, their group, and ``main``, the bucket's largest one."""
-    rooted = stage(
-        postings.join(roots, F.col("id") == F.col("node"), "left").select(
-            "shingle", "id", "size", "rest", F.coalesce("root", "id").alias("root")
-        ),
-        "rooted",
-    )
-    held = stage(rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")), "bucket-groups")
-    main = held.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("groups"))
-    main = stage(main.where("groups > 1").select("shingle", F.col("main.root").alias("main")), "mixed-buckets")
-    return stage(rooted.join(main, "shingle"), "mixed")
+    with scratch_scope(postings.sparkSession) as keep:
+        rooted = stage(
+            postings.join(roots, F.col("id") == F.col("node"), "left").select(
+                "shingle", "id", "size", "rest", F.coalesce("root", "id").alias("root")
+            ),
+            "rooted",
+        )
+        held = stage(rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")), "bucket-groups")
+        main = held.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("groups"))
+        main = stage(main.where("groups > 1").select("shingle", F.col("main.root").alias("main")), "mixed-buckets")
+        return keep(rooted.join(main, "shingle"), "mixed")
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group of exact and near copies."""
     rows = stage(word_hashes(docs).withColumn("id", F.monotonically_increasing_id()), "word-hashes")
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "id"))
-    # One row for each word sequence, then one for each group of those.
-    single = stage(rows.groupBy("same").agg(first.alias("first")).select("first.*"), "single")
+    # One row for each word sequence, then one for each group of those: by fingerprints, and by what the shingles add.
+    single = stage(rows.groupBy("same").agg(first.alias("first"), F.min("fp").alias("fp")).select("first.*", "fp"), "single")
+    with scratch_scope(spark) as keep:
+        rooted = stage(single.join(print_roots(single), "fp").select("id", "root"), "rooted-prints")
+        least = rooted.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        # The rows of a group hang on its least one; the join is null-safe, so that a large group can be split over tasks.
+        linked = keep(rooted.alias("p").join(least.alias("l"), same("p", "l", ["root"])).select(F.col("id").alias("node"), F.col("least").alias("root")), "linked")
     texts = rows.select("id", F.coalesce("row.text", F.lit("")).alias("text"))
-    roots = groups_of_near_copies(stage(texts.join(single.select("id").hint("merge"), "id", "left_semi"), "single-texts"))
+    roots = groups_of_near_copies(stage(texts.join(single.select("id").hint("merge"), "id", "left_semi"), "single-texts"), linked)
     grouped = single.join(roots, F.col("id") == F.col("node"), "left")
     kept = grouped.groupBy(F.coalesce("root", "id").alias("g")).agg(F.min(F.struct("none", "doc_id", "id")).alias("m"))
     stay = rows.join(kept.select("m.id").hint("merge"), "id", "left_semi")

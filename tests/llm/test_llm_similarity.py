@@ -297,3 +297,21 @@ def test_neighbours_of_edge_vectors(spark):
         assert got[q] == [k for k, _ in want[q]]
     few = neighbours.nearest(df.where("vec_id in (0, 1, 2, 440)")).collect()
     assert sorted((r.query_id, r.id) for r in few) == [(0, 1), (0, 2)]
+
+
+def test_near_dedup_takes_the_links_between_fingerprints(spark):
+    """Texts within two bits of each other are near copies, also where their five-word sets are less alike than 0.8."""
+    rng = random.Random(8)
+    prose = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    bits = lambda t: simhash.fingerprint(simhash.shingle_hashes(t, simhash.WORDS))
+    texts, pairs = [" ".join(prose(80)) for _ in range(20)], 0
+    while pairs < 3:
+        words = prose(200)
+        other = list(words)
+        for k in rng.sample(range(5, 195), 6):
+            other[k] = "changed"
+        a, b = " ".join(words), " ".join(other)
+        if (bits(a) ^ bits(b)).bit_count() <= 2 and len(kept_by_brute_force([a, b])) == 2:
+            texts += [a, b]
+            pairs += 1
+    assert stage_keeps(spark, texts) == set(range(20)) | {20, 22, 24}
