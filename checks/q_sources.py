@@ -10,7 +10,7 @@ from checks.text_tables import text_detail, text_order, with_text
 from martloom.functions import fixed
 from martloom.functions.columns import is_blank, with_etl_columns
 from martloom.operators import clean, rank, sales, versions, wide
-from martloom.sources import layout, partitions, schemas, sinks, tables
+from martloom.sources import layout, partitions, retail, schemas, sinks, tables
 
 MONTH = "1997-05"
 
@@ -24,8 +24,22 @@ def _valid_orders(t: Tables):
 
 
 def _detail_with_time(t: Tables):
+    return retail.derived_detail(_lines_with_time(t))
+
+
+def _lines_with_time(t: Tables):
+    """Source columns of the details with time and status of their orders."""
     order = t.clean.order().select("order_id", "order_time", "order_status")
-    return t.clean.detail().join(order, "order_id", "left")
+    return t.clean.detail_source().join(order, "order_id", "left")
+
+
+def _month_lines(t: Tables):
+    """The valid lines of one month. Its orders are found first; while they are few, the lines of all others are not dealt out."""
+    order = partitions.in_month(sales.valid_sales(t.clean.order(), t.statuses), MONTH).select("order_id", "order_time", "order_status")
+    found = t.stage(order, "month-orders")
+    if wide.written_bytes(found) <= fixed.BROADCAST_MB << 20:
+        found = F.broadcast(found)
+    return t.clean.detail_source().join(found, "order_id")
 
 
 @query(
@@ -80,7 +94,8 @@ def parquet_scan_checked(t: Tables):
     "SELECT count(*) AS rows_before, count(*) AS rows_after FROM wide",
 )
 def parquet_overwrite_verified(t: Tables):
-    d = wide.dwd_wide(t.clean.detail(), t.clean.order(with_area=True), t.clean.customer(), t.clean.product())
+    c = t.clean
+    d = wide.dwd_wide(c.detail_source(), c.order(with_area=True), c.customer(), c.product(), retail.derived_detail)
     return sinks.parquet_overwrite_verified(d, t.scratch("dwd"))
 
 
@@ -110,7 +125,7 @@ _PER_MONTH = "SELECT strftime(order_time, '%Y-%m') AS order_month, count(*) AS r
 
 @query("month_partition_write", "order_month:s row_count:i", _PER_MONTH)
 def month_partition_write(t: Tables):
-    return partitions.month_partition_write(_detail_with_time(t), t.scratch("months"))
+    return partitions.month_partition_write(_lines_with_time(t), t.scratch("months"), retail.derived_detail)
 
 
 @query(
@@ -133,7 +148,7 @@ def month_write_with_unplaced(t: Tables):
 )
 def month_pruned_scan(t: Tables):
     path = t.scratch("months")
-    partitions.month_partition_write(_detail_with_time(t), path)
+    partitions.month_partition_write(_lines_with_time(t), path, retail.derived_detail)
     month = partitions.month_pruned_scan(t.spark, path, MONTH)
     return month.groupBy("order_month").agg(
         F.count(F.lit(1)).alias("row_count"), F.sum("actual_amount").alias("amount")
@@ -148,9 +163,8 @@ def month_pruned_scan(t: Tables):
 )
 def dynamic_partition_overwrite(t: Tables):
     path = t.scratch("months")
-    rows = _detail_with_time(t)
-    partitions.month_partition_write(rows, path)
-    partitions.dynamic_partition_overwrite(sales.valid_sales(rows, t.statuses), MONTH, path)
+    partitions.month_partition_write(_lines_with_time(t), path, retail.derived_detail)
+    partitions.dynamic_partition_overwrite(_month_lines(t), MONTH, path, retail.derived_detail)
     return partitions.partition_rows(t.spark, path)
 
 
@@ -165,9 +179,8 @@ def dynamic_partition_overwrite(t: Tables):
 )
 def incremental_month_job(t: Tables):
     path = t.scratch("months")
-    rows = _detail_with_time(t)
-    partitions.month_partition_write(rows, path)
-    return partitions.incremental_month_job(sales.valid_sales(rows, t.statuses), MONTH, path)
+    partitions.month_partition_write(_lines_with_time(t), path, retail.derived_detail)
+    return partitions.incremental_month_job(_month_lines(t), MONTH, path, retail.derived_detail)
 
 
 @query(

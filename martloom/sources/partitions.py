@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from martloom.functions import fixed
 from martloom.operators import versions
-from martloom.session import stage
+from martloom.session import file_sized, stage
 from martloom.sources.publish import Folder, incoming, publish, repair
 from martloom.sources.sinks import observed, rows_seen
 
@@ -27,21 +28,28 @@ def month_rows(df: DataFrame) -> DataFrame:
     return with_month(df).groupBy(PARTITION).agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def _write(df: DataFrame, path: str, mode: str | None) -> int:
+#: Rows to the same rows with more columns.
+Rows = Callable[[DataFrame], DataFrame]
+
+
+def _write(df: DataFrame, path: str, mode: str | None, derive: Rows | None = None) -> int:
     """Write by month. Returns the row count, observed while writing.
 
     ``rebalance`` gathers each month's rows into few files, but lets Spark
-    split a month that is much larger than the others.
+    split a month that is much larger than the others. ``derive`` makes the
+    columns of the table from those that were dealt out.
     """
-    counted, seen = observed(df.hint("rebalance", F.col(PARTITION)))
+    dealt = df.hint("rebalance", F.col(PARTITION))
+    counted, seen = observed(derive(dealt) if derive else dealt)
     writer = counted.write.mode("overwrite").partitionBy(PARTITION)
     if mode:
         writer = writer.option("partitionOverwriteMode", mode)
-    writer.parquet(path)
+    with file_sized(df.sparkSession):
+        writer.parquet(path)
     return rows_seen(seen)
 
 
-def month_partition_write(df: DataFrame, path: str) -> DataFrame:
+def month_partition_write(df: DataFrame, path: str, derive: Rows | None = None) -> DataFrame:
     """Write every placeable row by month; returns rows per month as written.
 
     Rows without a month cannot be placed. They are counted in a row whose month
@@ -49,7 +57,7 @@ def month_partition_write(df: DataFrame, path: str) -> DataFrame:
     """
     spark = df.sparkSession
     dropped = df.filter(F.to_date("order_time").isNull()).count()
-    written = _write(with_month(df).filter(F.col(PARTITION).isNotNull()), path, "static")
+    written = _write(with_month(df).filter(F.col(PARTITION).isNotNull()), path, "static", derive)
     left = spark.createDataFrame([(None, dropped)] if dropped else [], f"{PARTITION} string, row_count bigint")
     # Nothing written means no month folder, which could not be read back.
     return partition_rows(spark, path).unionByName(left) if written else left
@@ -98,12 +106,12 @@ def in_month(df: DataFrame, month: str) -> DataFrame:
     return df.filter((time >= F.lit(first).cast(kind)) & (time < F.lit(end).cast(kind)))
 
 
-def dynamic_partition_overwrite(df: DataFrame, month: str, path: str) -> int:
+def dynamic_partition_overwrite(df: DataFrame, month: str, path: str, derive: Rows | None = None) -> int:
     """Replace one month of the table at ``path``; other months are not touched.
 
     ``df`` must not read from ``path``. Returns the rows written.
     """
-    return _write(with_month(in_month(df, month)), path, "dynamic")
+    return _write(with_month(in_month(df, month)), path, "dynamic", derive)
 
 
 def _split(spark: SparkSession, path: str, month: str) -> tuple[int, int]:
@@ -119,7 +127,7 @@ def _split(spark: SparkSession, path: str, month: str) -> tuple[int, int]:
     return row.target, row.other
 
 
-def incremental_month_job(df: DataFrame, month: str, path: str) -> DataFrame:
+def incremental_month_job(df: DataFrame, month: str, path: str, derive: Rows | None = None) -> DataFrame:
     """Load one month and check it: three rows, (check, expected, actual, passed).
 
     The month is written aside and checked there; only a month that passes
@@ -130,7 +138,7 @@ def incremental_month_job(df: DataFrame, month: str, path: str) -> DataFrame:
     repair(spark, path)
     before_target, before_other = _split(spark, path, check_month(month))
     staged = incoming(path)
-    loaded = _write(with_month(in_month(df, month)), staged, "static")
+    loaded = _write(with_month(in_month(df, month)), staged, "static", derive)
     if loaded == 0:
         repair(spark, path)  # drops what is not marked
         raise ValueError(f"no rows for month {month}")
