@@ -1,16 +1,17 @@
-"""Line dedup through a suffix array over line numbers.
+"""Line dedup through names of repeated windows of lines.
 
 Every line with a word gets a number; a document is the sequence of its numbers.
 Distributed prefix doubling names all windows of 1, 2, 4, ... lines that occur
-twice or more, in sorted order: the name of a window of 2w lines is the rank of
-the pair of names of its halves. A window whose half occurs once occurs once
-itself, so each round only keeps what is still repeated.
+twice or more: a window of 2w lines is known by the pair of names of its halves,
+and every pair that occurs twice gets a number. Two windows of as many lines are
+equal if and only if their names are; the names' order means nothing. A window
+whose half occurs once occurs once itself, so each round only keeps what is still
+repeated.
 
 A run of lines counts when it has at least ``MIN_WORDS`` words. For each suffix
 the shortest such run is a prefix whose length in lines its own content decides;
-suffixes that agree in it are neighbours in the suffix array and form one
-interval of common prefix. The first suffix of an interval is the original, the
-runs at all others are later copies; overlapping copies are merged and deleted.
+suffixes that agree in it form one interval of common prefix. The first suffix of
+an interval is the original, the runs at all others are later copies; overlapping copies are merged and deleted.
 "First" is by doc_id, nulls last, then by input order, then by place in the text.
 
 Runs that start at a line leave the end of a maximal repeated run, where fewer
@@ -32,11 +33,13 @@ All columns are carried, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from martloom.llm.common import named, packed, positions, same, table, unpacked, word_count
+from martloom.llm.common import packed, same, table, word_count
 from martloom.session import stage
 
 MIN_WORDS = 50
@@ -70,22 +73,23 @@ def line_table(rows: DataFrame, min_words: int) -> DataFrame:
     return sized.select("id", "seq", "line", "h1", "h2", need, held)
 
 
-def ranked(windows: DataFrame, pair: list[str]) -> DataFrame:
-    """(id, seq, name): windows that occur twice or more, named by the rank of their pair."""
+def named_windows(windows: DataFrame, pair: list[str]) -> DataFrame:
+    """(id, seq, name): windows that occur twice or more, with the number of their pair."""
     repeated = windows.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*pair)
-    names = positions(repeated, [], pair, "name")
-    return stage(windows.join(names, pair).select("id", "seq", "name"), "names")
+    # Written, so that the numbers hold and the join does not ride on the grouping's exchange.
+    numbered = stage(repeated.withColumn("name", F.monotonically_increasing_id()), "repeated-windows")
+    return stage(windows.join(numbered, pair).select("id", "seq", "name"), "names")
 
 
 def suffix_names(lines: DataFrame, longest: int) -> list[DataFrame]:
     """Names of repeated windows of 2^k lines, k = 0, 1, ..., as far as any is repeated or ``longest`` lines."""
-    levels = [ranked(lines.select("id", "seq", "h1", "h2"), ["h1", "h2"])]
+    levels = [named_windows(lines.select("id", "seq", "h1", "h2"), ["h1", "h2"])]
     while 2 ** len(levels) <= longest:
         width = 2 ** (len(levels) - 1)
         here = levels[-1]
         ahead = here.select("id", (F.col("seq") - width).alias("seq"), F.col("name").alias("name2"))
         doubled = here.join(ahead, ["id", "seq"]).select("id", "seq", F.col("name").alias("name1"), "name2")
-        following = ranked(doubled, ["name1", "name2"])
+        following = named_windows(doubled, ["name1", "name2"])
         if following.isEmpty():
             break
         levels.append(following)
@@ -104,15 +108,14 @@ def copied_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     starts = starts.union(ends).distinct()
     longest = starts.agg(F.max("m")).first()[0] or 0  # at most min_words, every line has a word
     levels = suffix_names(lines, longest)
-    prefixes = None
-    for k, names in enumerate(levels):
-        # Two windows of 2^k lines, from the front and from the back, cover a run of 2^k to 2^(k+1) - 1 lines.
-        sized = starts.where((F.col("m") >= 2**k) & (F.col("m") < 2 ** (k + 1)))
-        back = names.select("id", F.col("seq").alias("back"), F.col("name").alias("name2"))
-        both = sized.join(names, ["id", "seq"]).withColumn("back", F.col("seq") + F.col("m") - 2**k).join(back, ["id", "back"])
-        part = both.select("id", "seq", "m", F.col("name").alias("name1"), "name2")
-        prefixes = part if prefixes is None else prefixes.union(part)
-    prefixes = stage(prefixes.join(rows.select("id", "doc_id"), "id"), "prefixes")
+    # Two windows of 2^k lines, from the front and from the back, cover a run of 2^k to 2^(k+1) - 1 lines.
+    names = reduce(DataFrame.union, [n.select("id", "seq", F.lit(k).alias("k"), "name") for k, n in enumerate(levels)])
+    wide = reduce(lambda c, k: c.when(F.col("m") < 2 ** (k + 1), k), range(1, len(levels)), F.when(F.col("m") < 2, 0))
+    sized = starts.withColumn("k", wide).where("k is not null")
+    back = names.select("id", F.col("seq").alias("back"), "k", F.col("name").alias("name2"))
+    both = sized.join(names, ["id", "seq", "k"]).withColumn("back", F.expr("int(seq + m - shiftleft(1, k))")).join(back, ["id", "back", "k"])
+    both = both.select("id", "seq", "m", F.col("name").alias("name1"), "name2")
+    prefixes = stage(both.join(rows.select("id", "doc_id"), "id"), "prefixes")
     interval = ["m", "name1", "name2"]
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "seq")
     firsts = prefixes.groupBy(*interval).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -247,6 +247,20 @@ def test_line_dedup_stage_leaves_no_tails(spark):
     assert sorted(r.doc_id for r in line_dedup.stage_line_dedup(spark, df, "").collect()) == [0, 2]
 
 
+def test_line_dedup_runs_few_jobs(spark):
+    """The driver keeps what it knows of each job and broadcast: a round of doubling is two writes, not a ranking."""
+    texts = ["\n".join(f"w{i}" for i in range(70))] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sc = spark.sparkContext
+    sc.setJobGroup("line-dedup-jobs", "")
+    try:
+        done = line_dedup.dedup(df)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("line-dedup-jobs")) < 75
+    assert sorted(len(r.text) > 0 for r in done.collect()) == [False, True]
+
+
 def test_line_dedup_of_edge_documents(spark, docs):
     done = line_dedup.dedup(docs).collect()
     assert Counter(r.row for r in done) == Counter(docs.collect())
