@@ -477,7 +477,7 @@ def integrity_suite(
     (the table's own key) or as a child (a reference to it), and with the row's
     faults; grouped by domain and key it holds the key, relation and row rules
     together. A second pass over the details meets their orders' times and leaves
-    one written row per order, from which time and amount rules are read.
+    one written row per order, from which time and amount rules and lost orders are read.
     """
     nothing, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     flags = ("quantity", "formula", "payable")
@@ -496,7 +496,7 @@ def integrity_suite(
         return df.select(F.inline(F.array(*entries)))
 
     listed = (
-        keys(detail, ("order_detail", "order_detail_id"), ("order", "product"),
+        keys(detail, ("order_detail", "order_detail_id"), ("product",),
              quantity=outside_range("quantity", *quantity_range), formula=detail_mismatch(expected))
         .union(keys(order, ("order", "order_id"), ("customer",), payable=payable_mismatch(fixed.MONEY_TOLERANCE)))
         .union(keys(customer, ("customer", "customer_id")))
@@ -517,7 +517,6 @@ def integrity_suite(
         "product_key": total("product", repeated),
         "order_customer": total("customer", lost),
         "detail_product": total("product", lost),
-        "detail_order": total("order", lost),
         "quantity_range": total(None, F.col("quantity")),
         "actual_amount_formula": total(None, F.col("formula")),
         "payable_formula": total(None, F.col("payable")),
@@ -527,7 +526,9 @@ def integrity_suite(
     timed = detail.select("order_id", "actual_amount", "created_at").join(order_times(order), meets("order_id", "t_order_id"), "left")
     per_order = stage(
         timed.groupBy(F.col("order_id").alias("s_order_id")).agg(
-            F.sum("actual_amount").alias("detail_amount"), count_if(F.col("created_at") < F.col("order_time")).alias("late")
+            F.sum("actual_amount").alias("detail_amount"),
+            count_if(F.col("created_at") < F.col("order_time")).alias("late"),
+            count_if(F.col("t_order_id").isNull()).alias("lost"),
         ),
         "order-sums",
     )
@@ -535,7 +536,7 @@ def integrity_suite(
     close = F.abs(F.col("order_amount") - F.col("detail_amount")) <= F.lit(Decimal(fixed.MONEY_TOLERANCE))
     by_order = beside(
         header.agg(count_if(~F.coalesce(close, F.lit(False))).alias("order_amount_sum")),
-        per_order.agg(F.coalesce(F.sum("late"), nothing).alias("detail_time")),
+        per_order.agg(*[F.coalesce(F.sum(c), nothing).alias(n) for c, n in (("late", "detail_time"), ("lost", "detail_order"))]),
     )
     parts = [to_rows(df, {n: F.col(n) for n in df.columns}, "rule", "errors") for df in (by_key, by_order)]
     return parts[0].unionByName(parts[1])

@@ -47,6 +47,20 @@ def test_integrity_suite_reads_details_twice(spark, folder, staged_plans):
     assert sum(p.count("Exchange hash") for p in plans) <= 7
 
 
+def test_integrity_suite_counts_lost_orders_with_the_sums_per_order(spark, folder, monkeypatch):
+    """References to orders are not listed beside the details' own keys a second time."""
+    staged, real = [], quality.stage
+    monkeypatch.setattr(quality, "stage", lambda df, name: staged.extend(df.columns) or real(df, name))
+    t = RetailTables(spark, folder)
+    detail = t.detail()
+    kind = detail.schema["order_id"].dataType
+    unknown = detail.limit(3).withColumn("order_id", F.lit(-1).cast(kind))
+    blank = detail.limit(2).withColumn("order_id", F.lit(None).cast(kind))
+    out = quality.integrity_suite(t.order(), detail.unionByName(unknown).unionByName(blank), t.customer(), t.product())
+    assert "lost" in staged
+    assert {r.rule: r.errors for r in out.collect()}["detail_order"] == 5
+
+
 def test_manifest_reads_details_twice(spark, folder):
     t = RetailTables(spark, folder)
     plan = initial(quality.anomaly_manifest(t.order(), t.detail(), t.customer(), t.product()))
