@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.registry import Tables
-from martloom.operators import quality, reconcile, skew, star
+from martloom.operators import gates, quality, reconcile, sales, skew, star
 from martloom.plans import layer_audit, layer_checks, warehouse
 from martloom.plans.store import LayerStore
 from martloom.sources import layout, schemas, sinks
@@ -240,3 +240,26 @@ def test_small_side_is_broadcast_after_a_size_check(spark, folder):
     assert initial(small).count("BroadcastHashJoin") == 1 and initial(small).count("SortMergeJoin") == 1
     assert initial(large).count("ShuffledHashJoin") == 1 and "BroadcastHashJoin" not in initial(large)
     assert {r.strategy: (r.joined_rows, r.unmatched_rows) for r in large.collect()} == dict.fromkeys(("merge", "shuffle_hash"), (t.detail().count(), 0))
+
+
+@pytest.mark.parametrize("one_hash", [False, True])
+def test_gates_deal_hashes_of_detail_ids(spark, monkeypatch, staged_plans, one_hash):
+    """Ids are counted by hash; ids that only share a hash are not repeated ones."""
+    plans = staged_plans(gates)
+    if one_hash:
+        monkeypatch.setattr(gates.F, "xxhash64", lambda *c: F.lit(7).cast("bigint"))
+    detail = spark.createDataFrame([(k,) for k in ("a", "b", "b", "b", "c", "", " ", None)], "order_detail_id string")
+    row = gates.long_key_errors(detail, "order_detail_id", "detail").first()
+    assert (row.detail_key_blank, row.detail_key_repeated) == (3, 2)
+    assert len(plans) == 1 and "Exchange hashpartitioning(hash#" in plans[0] and "Exchange hashpartitioning(order_detail_id" not in plans[0]
+    none = gates.long_key_errors(detail.limit(0), "order_detail_id", "detail").first()
+    assert (none.detail_key_blank, none.detail_key_repeated) == (0, 0)
+
+
+def test_product_sales_of_gated_details_compare_no_ids(spark, folder):
+    t = RetailTables(spark, folder)
+    details = t.detail().join(t.order().select("order_id", "order_time"), "order_id")
+    plain, gated = (sales.product_sales(details, t.product(), once) for once in (False, True))
+    assert "order_detail_id" in "".join(x for x in initial(plain).splitlines() if "Exchange hash" in x or "keys=" in x)
+    assert "order_detail_id" not in "".join(x for x in initial(gated).splitlines() if "Exchange hash" in x or "keys=" in x)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, gated.collect()))
