@@ -183,3 +183,31 @@ def test_layout_audit_and_compaction(spark, tmp_path):
     assert layout.file_layout_audit(spark, {"few": few}).first().small_files is False
     with pytest.raises(ValueError):
         layout.small_file_compaction(spark, many, many, "coalesce")
+
+
+def test_compaction_keeps_neighbours_together_and_does_not_grow(spark, tmp_path):
+    many, few, one = (str(tmp_path / n) for n in ("many", "few", "one"))
+    note = F.sha1(F.floor(F.col("id") / 50).cast("string"))
+    spark.range(0, 90_000, 1, 9).withColumn("note", note).write.parquet(many)
+    rows = spark.read.parquet(many)
+    size = layout.table_files(spark, many).agg(F.sum("length")).first()[0]
+    for source, target, mode, part, files in ((many, few, "repartition", -(-size // 3), 3), (few, one, "coalesce", size, 1)):
+        r = layout.small_file_compaction(spark, source, target, mode, part).first()
+        assert (r.files, r.rows_before, r.rows_after) == (files, 90_000, 90_000)
+        written = spark.read.parquet(target)
+        assert written.schema == rows.schema and written.exceptAll(rows).isEmpty()
+        stretches = written.groupBy("_metadata.file_path").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("id").alias("n"))
+        assert all(s.z - s.a + 1 == s.n == 90_000 // files for s in stretches.collect())
+        assert layout.table_files(spark, target).agg(F.sum("length")).first()[0] <= size
+
+
+def test_compaction_of_files_with_a_row_each_and_of_no_rows(spark, tmp_path):
+    many, few, none = (str(tmp_path / n) for n in ("many", "few", "none"))
+    spark.range(0, 12, 1, 12).write.parquet(many)
+    size = layout.table_files(spark, many).agg(F.sum("length")).first()[0]
+    r = layout.small_file_compaction(spark, many, few, "repartition", -(-size // 5)).first()
+    assert (r.files, r.rows_before, r.rows_after) == (5, 12, 12)
+    assert layout.footers(spark, few).agg(F.max("row_count")).first()[0] == 3
+    spark.range(0).write.parquet(none)
+    r = layout.small_file_compaction(spark, none, few, "repartition").first()
+    assert (r.files, r.rows_before, r.rows_after) == (1, 0, 0)
