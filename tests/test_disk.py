@@ -33,7 +33,7 @@ def con(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("key", ["warehouse_checks_29"])
+@pytest.mark.parametrize("key", ["warehouse_checks_29", "warehouse_checks_12"])
 def test_a_built_warehouse_leaves_its_check_rows_alone(spark, con, folder, key, monkeypatch):
     monkeypatch.setattr(wide, "PART_BYTES", 64 << 10)
     joined, real = [], wide.parts_by_order
@@ -95,6 +95,19 @@ def test_wide_table_in_parts_is_the_whole_one(spark, members, tmp_path, monkeypa
     assert all(f.endswith(".zstd.parquet") for f in written.inputFiles())
 
 
+def test_order_driven_table_in_parts_is_the_whole_one(members, monkeypatch):
+    m = members
+    tables = [m[n] for n in ("order", "detail", "customer", "product")]
+    whole = wide.dwd_order_driven(*tables)
+    in_parts(monkeypatch, m["detail"])
+    parts = wide.dwd_order_driven_parts(*tables)
+    assert len(parts) == 3 and all(p.count() > 0 for p in parts)
+    added = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # Orders without id and without details stay.
+    assert added.where("order_id IS NULL").count() == 18 and added.where("order_detail_id IS NULL").count() > 18
+    assert same(added, whole)
+
+
 def test_ids_of_two_types_stay_in_one_part(members, monkeypatch):
     in_parts(monkeypatch, members["detail"])
     text = members["order"].withColumn("order_id", F.col("order_id").cast("string"))
