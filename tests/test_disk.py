@@ -33,7 +33,7 @@ def con(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("key", ["warehouse_checks_29", "warehouse_checks_12"])
+@pytest.mark.parametrize("key", ["warehouse_checks_29", "warehouse_checks_12", "layer_row_parity"])
 def test_a_built_warehouse_leaves_its_check_rows_alone(spark, con, folder, key, monkeypatch):
     monkeypatch.setattr(wide, "PART_BYTES", 64 << 10)
     joined, real = [], wide.parts_by_order
